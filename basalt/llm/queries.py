@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from basalt.llm.mixing import op7_cube_mixing
+from basalt.llm.packing import op9_grouped_packing
 from basalt.llm.quality import op8_quality_ftrl
 from basalt.llm.rules import op3_isolation_rules
 from basalt.llm.token_counts import op10_trie_token_counts
@@ -10,7 +12,9 @@ from basalt.llm.toxicity import op4_toxicity_nnpu
 QUERIES = {
     "op3_isolation_rules": op3_isolation_rules,
     "op4_toxicity_nnpu": op4_toxicity_nnpu,
+    "op7_cube_mixing": op7_cube_mixing,
     "op8_quality_ftrl": op8_quality_ftrl,
+    "op9_grouped_packing": op9_grouped_packing,
     "op10_trie_token_counts": op10_trie_token_counts,
 }
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basalt.llm.fingerprints import op5_scaled_fingerprints
 from basalt.llm.mixing import op7_cube_mixing
 from basalt.llm.packing import op9_grouped_packing
 from basalt.llm.quality import op8_quality_ftrl
@@ -12,6 +13,7 @@ from basalt.llm.toxicity import op4_toxicity_nnpu
 QUERIES = {
     "op3_isolation_rules": op3_isolation_rules,
     "op4_toxicity_nnpu": op4_toxicity_nnpu,
+    "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op7_cube_mixing": op7_cube_mixing,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_grouped_packing": op9_grouped_packing,

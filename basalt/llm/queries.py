@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from basalt.llm.fingerprints import op5_scaled_fingerprints
 from basalt.llm.mixing import op7_cube_mixing
+from basalt.llm.near_dedup import op2_dart_minhash
 from basalt.llm.packing import op9_grouped_packing
 from basalt.llm.quality import op8_quality_ftrl
 from basalt.llm.rules import op3_isolation_rules
@@ -11,6 +12,7 @@ from basalt.llm.token_counts import op10_trie_token_counts
 from basalt.llm.toxicity import op4_toxicity_nnpu
 
 QUERIES = {
+    "op2_dart_minhash": op2_dart_minhash,
     "op3_isolation_rules": op3_isolation_rules,
     "op4_toxicity_nnpu": op4_toxicity_nnpu,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 WORD_RE = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\x0b\x0c\r"
 BATCH_ROWS = 1024
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL_DIRS: list[str] = []
 
 
@@ -46,11 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[0]}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends in files that survive lost executors."""
+def stage(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends in files that survive lost executors.
+
+    batch_rows: rows of the Arrow batches within df's plan.
+    """
     spark = df.sparkSession
+    spark.conf.set(ARROW_ROWS, str(batch_rows))
     path = f"{shared_dir(spark)}/basalt-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,9 +68,9 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType, *args) -> DataFrame:
-    """Arrow map: ``function(*args)`` is called once a task and returns batch -> {column: values}, or an iterator of them."""
+    """Arrow map: ``function(*args)`` is called once a task and returns batch -> {column: values}."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(schema)
@@ -70,13 +78,27 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType, *ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = function(*args)
         for batch in batches:
-            out = step(batch)
-            for part in [out] if isinstance(out, dict) else out:
-                yield pa.RecordBatch.from_arrays([pa.array(part[f.name], type=f.type) if not isinstance(part[f.name], pa.Array) else part[f.name].cast(f.type) for f in arrow], schema=arrow)
+            yield _batch(step(batch), arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def map_stream(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """Arrow map over a task's whole stream of batches: ``function(batches)`` yields {column: values}."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in function(batches):
+            yield _batch(part, arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
+    arrays = [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], type=f.type) for f in arrow]
+    return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+
 def share(spark: SparkSession, value):
     """A broadcast for model parameters, whose size does not depend on the corpus."""
     return spark.sparkContext.broadcast(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basalt.llm.exact_substrings import op6_suffix_dedup
 from basalt.llm.fingerprints import op5_scaled_fingerprints
 from basalt.llm.mixing import op7_cube_mixing
 from basalt.llm.near_dedup import op2_dart_minhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_isolation_rules": op3_isolation_rules,
     "op4_toxicity_nnpu": op4_toxicity_nnpu,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_cube_mixing": op7_cube_mixing,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_grouped_packing": op9_grouped_packing,

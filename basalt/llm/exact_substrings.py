@@ -2,7 +2,7 @@
 
 Every 200-byte window belongs to its minimizer, the least of the hashes of its k-byte strings; equal windows have
 equal minimizers, wherever they are.  A run of windows with one minimizer is a fragment.  Fragments whose minimizer
-occurs once cannot hold a repeated window.  The others meet by minimizer, each distinct content once, or twice if it
+occurs once cannot hold a repeated window.  The others meet by minimizer, each distinct content once, marked if it
 occurs more often, in shards whose suffix array and common prefixes (see suffix_array) tell which windows repeat.
 
 Null texts are empty, texts under 200 bytes keep all bytes; rows with the same text repeat each other; an empty
@@ -177,14 +177,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """
     keys: list[tuple[int, int]] = []
     contents: list[bytes] = []
+    times: list[int] = []
     held = 0
 
     def settle() -> dict:
         out: dict[str, list] = {"minimizer": [], "content": [], "starts": []}
-        done = set()
-        for key, mark in zip(keys, repeated_starts(contents, LENGTH)):
-            if key not in done and mark.any():
-                done.add(key)
+        for key, mark in zip(keys, repeated_starts(contents, LENGTH, times)):
+            if mark.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
                 out["minimizer"].append(key[0])
                 out["content"].append(key[1])
@@ -195,11 +194,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for m, c, twice, data in zip(*(batch.column(n).to_pylist() for n in ("minimizer", "content", "twice", "data"))):
             if held >= SHARD_BYTES and keys[-1][0] != m:
                 yield settle()
-                keys, contents, held = [], [], 0
-            for _ in range(1 + twice):
-                keys.append((m, c))
-                contents.append(data)
-                held += len(data)
+                keys, contents, times, held = [], [], [], 0
+            keys.append((m, c))
+            contents.append(data)
+            times.append(1 + twice)
+            held += len(data)
     if keys:
         yield settle()
 

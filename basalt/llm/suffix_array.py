@@ -72,20 +72,27 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
 
 
 def rank_by_doubling(r: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of r; its last symbol is its only least one."""
-    rank, k = r.astype(np.int64), 1
-    while True:
-        following = np.zeros(len(r), np.int64)
-        following[:-k] = rank[k:] + 1
-        order = np.argsort(rank * (int(rank.max()) + 2) + following, kind="stable")
-        a, b = rank[order], following[order]
-        new = np.empty(len(r), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank, k = new, 2 * k
-        if rank[order[-1]] == len(r) - 1:
-            return order
-        if k >= len(r):
-            return np.argsort(rank, kind="stable")
+    """Order of the suffixes of r; its last symbol is its only least one.  Only suffixes still tied are sorted again."""
+    n = len(r)
+    order = np.argsort(r, kind="stable")
+    head = np.where(np.concatenate([[True], r[order][1:] != r[order][:-1]]), np.arange(n), 0)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(head)
+    live, k = order, 1
+    while len(live) and k < n:
+        size = np.bincount(rank[live], minlength=n)
+        live = live[size[rank[live]] > 1]
+        after = live + k
+        key = rank[live] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        live, key = live[by], key[by]
+        old, place = rank[live], np.arange(len(live))
+        if len(live):
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), place, 0))
+            head = np.where(np.concatenate([[True], key[1:] != key[:-1]]), old + place - first, 0)
+            rank[live] = np.maximum.accumulate(head)
+        k *= 2
+    return np.argsort(rank, kind="stable")
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -155,17 +162,23 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return phi, np.where(left, base[source] - np.arange(n), plcp)
 
 
-def repeated_starts(contents: list[bytes], length: int) -> list[np.ndarray]:
-    """For each content, which starts' strings of ``length`` bytes start at another place of the contents, too."""
+def repeated_starts(contents: list[bytes], length: int, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each content, which starts' strings of ``length`` bytes start at another place, too.
+
+    times: how often each content occurs; its suffixes stand for as many in the array, which holds each content once.
+    """
     size = np.array([len(c) for c in contents], np.int64)
     joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     joined[begin[1:] - 1] = 1  # what separates contents is no byte
     t = np.append(joined, np.uint16(0))
-    phi, plcp = common_prefixes(t, suffix_array(t, 258))
-    far = np.flatnonzero(plcp >= length)
-    mark = np.zeros(len(t), bool)
-    mark[far] = True
-    mark[phi[far]] = True
+    sa = suffix_array(t, 258)
+    phi, plcp = common_prefixes(t, sa)
+    weight = np.append(np.repeat(np.ones(len(contents), np.int64) if times is None else np.array(times), size + 1), 1)
+    # neighbours in the order with a common prefix of the length are one string; it repeats if its places sum to two
+    fresh = plcp[sa] < length
+    string = np.cumsum(fresh) - 1
+    mark = np.empty(len(t), bool)
+    mark[sa] = np.bincount(string, weight[sa])[string] > 1
     # a string that runs over a separator is of two contents and does not count
     return [mark[a : a + max(0, s - length + 1)] for a, s in zip(begin[:-1].tolist(), size.tolist())]

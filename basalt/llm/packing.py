@@ -14,7 +14,10 @@ empty table gives an empty result.  Columns other than doc_id and text are ignor
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ CAPACITY = 2048
 GROUPS = 64
 LARGE = 8  # a length over capacity / LARGE is large
 RANK_ROWS = 20_000  # pieces of one length that one window partition holds on average
-CACHE = 300_000
+CACHE = 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,26 +41,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
+class WordIds:
     """Word -> its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row.  Two
+    generations of at most CACHE words are kept: what a batch needs is carried over, what none has needed goes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-        new = list(words - self.keys())
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The table that has all of words, until the next call."""
+        if len(self.now) > CACHE:
+            self.before, self.now = self.now, {}
+        new = []
+        for w in words - self.now.keys():
+            ids = self.before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.now[w] = ids
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                ids = array("I", e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.now[w] = ids.tobytes()
+        return self.now
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The process's tables for a tokenizer: a reused worker keeps them from task to task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
+    return _TOKENIZERS[path]
 
 
 def lower(b: bytes) -> bytes:
@@ -70,17 +96,15 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path, step_bytes = path or tokenizer_path(), 4 * capacity
 
     def start():
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(path)
+        ids = word_ids(path)
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = [lower(b).split() for b in as_bytes(batch.column(1))]
-            ids.learn(set().union(*map(set, texts)))
+            table = ids.learn(set().union(*map(set, texts)))
             out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
             for doc_id, words in zip(batch.column(0).to_pylist(), texts):
-                data = b"".join(map(ids.__getitem__, words)) + b"\0\0\0\0"
+                data = b"".join(map(table.__getitem__, words)) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(data), step_bytes)):
                     part = data[at : at + step_bytes]
                     for name, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import ALERTS, FOUR_HOURS_US, GRAMS_PER_OUNCE, MINERALS, REJECT, RULES, SHIFTS, Dialect, bronze, gold, in_list, outside, recovery, silver, tele
+from basalt.plans.dialect import ALERTS, FOUR_HOURS_US, GRAMS_PER_OUNCE, MINERALS, RULES, Dialect, bronze, gold, in_list, outside, recovery, silver, tele
 
 GOLD_ALL = "select * from gold"
 
@@ -84,4 +84,3 @@ QUERIES = {
     "event_failure_4h": lambda d: f"with {tele(d)} select event_id, count(failure_code) over (partition by equipment order by us range between 1 following and {FOUR_HOURS_US} following) as failures_ahead from tele",
     "next_event_label": lambda d: f"with {tele(d)} select event_id, front, case when following is null then null else failed end as next_failure from (select event_id, front, lead(event_id) over (partition by front order by us) as following, lead(case when failure_code is not null then 1 else 0 end) over (partition by front order by us) as failed from tele) as x where following is not null",
 }
-__all__ = ["QUERIES", "REJECT", "SHIFTS"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import eda, lakehouse, modelling
+from basalt.plans import cost, eda, lakehouse, modelling, text
 from basalt.plans.dialect import DUCK, SPARK, Dialect
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,6 +25,6 @@ def relational(build: Callable[[Dialect], str]) -> Callable[[SparkSession, str],
     return query
 
 
-_SQL = {**lakehouse.QUERIES, **modelling.QUERIES, **eda.QUERIES}
+_SQL = {**lakehouse.QUERIES, **modelling.QUERIES, **eda.QUERIES, **text.QUERIES, **cost.QUERIES}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: relational(b) for k, b in _SQL.items()}
 ORACLES: dict[str, str] = {k: b(DUCK) for k, b in _SQL.items()}

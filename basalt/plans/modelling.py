@@ -10,13 +10,14 @@ SIX_HOURS_US = 21_600_000_000
 def prefix_week(d: Dialect) -> str:
     """Trailing 7-day mean and count of the grade by front, [t - 7d, t), by prefix sums: linear in the rows.
 
-    Probes at t - 7d precede events of the same instant; a probe's prefix is taken off the event's.
+    Probes at t - 7d precede events of the same instant; a probe's prefix is taken off the event's.  Grades have four
+    decimals, so sums are kept in whole units and differences are exact.
     """
     return tele(d) + f""", marks as (
       select event_id, front, us as tick, 1 as kind, grade from tele union all select event_id, front, us - {WEEK_US}, 0, null from tele),
-    run as (select event_id, kind, coalesce(sum(grade) over w, 0) as s, count(grade) over w as c from marks
+    run as (select event_id, kind, coalesce(sum(cast(round(grade * 10000) as bigint)) over w, 0) as s, count(grade) over w as c from marks
       window w as (partition by front order by tick, kind, event_id rows between unbounded preceding and 1 preceding)),
-    week as (select event_id, sum(case when kind = 1 then s else -s end) as s, cast(sum(case when kind = 1 then c else -c end) as bigint) as c from run group by event_id)"""
+    week as (select event_id, cast(sum(case when kind = 1 then s else -s end) as bigint) as s, cast(sum(case when kind = 1 then c else -c end) as bigint) as c from run group by event_id)"""
 
 
 def matrix(d: Dialect) -> str:
@@ -101,7 +102,7 @@ def target_stats(d: Dialect) -> str:
 
 
 QUERIES = {
-    "event_features": lambda d: f"with {prefix_week(d)} select t.event_id, case when w.c > 0 then round(w.s / w.c, 5) end as grade_week_mean, w.c as grade_week_count, round(last_value(t.grade {'' if d.spark else 'ignore nulls'}) {'ignore nulls' if d.spark else ''} over (partition by t.front order by t.us rows between unbounded preceding and 1 preceding), 6) as grade_lag1, round((t.us - lag(t.us) over (partition by t.front order by t.us)) / {DAY_US}e0, 9) as days_since from tele t join week w on t.event_id = w.event_id",
+    "event_features": lambda d: f"with {prefix_week(d)} select t.event_id, case when w.c > 0 then w.s / 10000.0e0 / w.c end as grade_week_mean, w.c as grade_week_count, round(last_value(t.grade {'' if d.spark else 'ignore nulls'}) {'ignore nulls' if d.spark else ''} over (partition by t.front order by t.us rows between unbounded preceding and 1 preceding), 6) as grade_lag1, round((t.us - lag(t.us) over (partition by t.front order by t.us)) / {DAY_US}e0, 9) as days_since from tele t join week w on t.event_id = w.event_id",
     "event_flags_ratios": lambda d: f"with {tele(d)} select event_id, coalesce(temp > 88, false) as thermal_risk, coalesce(temp > 95, false) as overheat, coalesce(vibration > 12, false) as shaking, round(case when advance > 0 then pressure * rpm / advance end, 6) as specific_energy, round(case when rpm > 0 then (temp - 38) / rpm end, 9) as overtemp from tele",
     "impute_window_median": lambda d: f"with {tele(d)}, gaps as (select event_id, front, mineral, us from tele where grade is null), near as (select g.event_id, {d.pct('t.grade', 0.5)} as med, count(t.grade) as n from gaps g join tele t on t.front = g.front and t.mineral = g.mineral and t.us >= g.us - {WEEK_US} and t.us < g.us and t.grade is not null group by g.event_id) select g.event_id, case when n.n >= 5 then round(n.med, 6) end as grade, coalesce(n.n, 0) < 5 as flag_imputed from gaps g left join near n on g.event_id = n.event_id",
     "measured_target": lambda d: f"with {tele(d)} select event_id, grade as measured, grade is null as was_imputed from tele",

@@ -267,8 +267,8 @@ def _partitions(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, mark, n_removed, n_spans, kept_sha256 (and kept: bytes) of the texts that lose bytes."""
+def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, mark, n_removed, n_spans, kept_sha256 (and kept: the text left) of the texts that lose bytes."""
     texts, runs = repeated_windows(docs)
 
     def start():
@@ -279,14 +279,14 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
             for doc_id, mark, data, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 b = z.decompress(data)
                 kept, spans = cut_spans(b, [(r["at"] + o, n) for r in runs for o, n in zip(r["starts"][::2], r["starts"][1::2])])
-                for name, value in zip(out, (doc_id, mark, len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)):
+                for name, value in zip(out, (doc_id, mark, len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)):
                     out[name].append(value)
             return out
 
         return step
 
     both = texts.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.mark") == F.col("r.mark"))).select("t.doc_id", "t.mark", "data", "runs")
-    out = map_batches(both, start, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = map_batches(both, start, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept string")
     # equal rows come out as often as they went in; one of them answers for all
     return out.dropDuplicates(["doc_id", "mark"])
 
@@ -304,11 +304,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its repeated bytes, n_chars brought up to date."""
     columns = docs.columns
-    kept = F.decode(F.col("c.kept"), F.lit("UTF-8"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("k_id"), text_mark().alias("k_mark"))
-    cut = remove_repeats(docs.select("doc_id", "text"), keep_bytes=True)
+    cut = remove_repeats(docs.select("doc_id", "text"), keep_text=True)
     joined = own.join(cut.alias("c"), own["k_id"].eqNullSafe(F.col("c.doc_id")) & (own["k_mark"] == F.col("c.mark")), "left")
-    out = joined.select("row", F.when(F.col("c.doc_id").isNotNull() | F.col("c.kept").isNotNull(), kept).otherwise(F.col("row.text")).alias("new_text"))
+    out = joined.select("row", F.coalesce("c.kept", "row.text").alias("new_text"))
     changes = {"text": F.col("new_text")}
     if "n_chars" in columns:
         changes["n_chars"] = F.char_length(F.coalesce("new_text", F.lit(""))).cast(dict(docs.dtypes)["n_chars"])

@@ -157,7 +157,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, known: DataFrame, divis
 
 
 def score_toxicity(docs: DataFrame, model: tuple) -> DataFrame:
-    """Every column of docs plus ``toxicity`` (0 to 1); a map, no exchange."""
+    """Every column of docs (text and others) plus ``toxicity`` (0 to 1); a map, no exchange."""
     shared = share(docs.sparkSession, model)
 
     def start():
@@ -171,8 +171,7 @@ def score_toxicity(docs: DataFrame, model: tuple) -> DataFrame:
 
         return step
 
-    kept = docs.drop("toxicity")
-    return map_batches(kept, start, StructType([*kept.schema.fields, StructField("toxicity", DoubleType())]))
+    return map_batches(docs, start, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
 
 
 def op4_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +183,6 @@ def op4_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose toxicity is under one half, all columns kept."""
-    columns = docs.columns
-    model = toxicity_model(spark, docs, labelled(spark, sf_dir, "toxic", 5))
-    return score_toxicity(docs, model).where(F.col("toxicity") < 0.5).select(*columns)
+    model = toxicity_model(spark, docs.select("doc_id", "text"), labelled(spark, sf_dir, "toxic", 5))
+    own = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return score_toxicity(own, model).where(F.col("toxicity") < 0.5).select("row.*")

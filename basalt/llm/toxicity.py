@@ -37,26 +37,21 @@ def distinct_words(b: bytes) -> set[bytes]:
     return {x.strip(PUNCTUATION) for x in set(b.lower().split())}
 
 
-def fit_nnpu(words: list[list[bytes]], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights over the hash space and a bias; full-batch Adam with a proximal L1 step on the nnPU risk (logistic loss)."""
-    vocabulary: dict[bytes, int] = {}
-    doc, word = [], []
-    for i, ws in enumerate(words):
-        for w in ws:
-            doc.append(i)
-            word.append(vocabulary.setdefault(w, len(vocabulary)))
-    doc, word = np.array(doc, np.int64), np.array(word, np.int64)
-    owner, feature = [], []
-    for w, k in vocabulary.items():
-        f = word_features(w)
-        owner += [k] * len(f)
-        feature += f
-    owner, feature = np.array(owner, np.int64), np.array(feature, np.int64)
+def fit_nnpu(vocabulary: list[bytes], doc: np.ndarray, word: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights over the hash space and a bias; full-batch Adam with a proximal L1 step on the nnPU risk (logistic loss).
+
+    Row k of (doc, word) says that a document has a word of the vocabulary; positive: by document.
+    """
+    n_docs = len(positive)
+    of_word = [np.array(word_features(w), np.int32) for w in vocabulary]
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), [len(f) for f in of_word])
+    feature = np.concatenate(of_word)
+    del of_word
     # a feature counts if it occurs in enough toxic rows to be more than one author's habit
     toxic_words = np.bincount(word[positive[doc]], minlength=len(vocabulary))
     rows = np.bincount(feature, toxic_words[owner], minlength=1 << BITS)
     live = np.flatnonzero(rows >= MIN_ROWS)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[live] = np.arange(len(live))
     used = place[feature] >= 0
     owner, feature = owner[used], place[feature[used]]
@@ -65,7 +60,7 @@ def fit_nnpu(words: list[list[bytes]], positive: np.ndarray, prior: float) -> tu
     n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
     for t in range(1, STEPS + 1):
         by_word = np.bincount(owner, theta[feature], minlength=len(vocabulary))
-        f = np.bincount(doc, by_word[word], minlength=len(words)) + bias
+        f = np.bincount(doc, by_word[word], minlength=n_docs) + bias
         p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
         negative_risk = np.logaddexp(0, f[~positive]).sum() / n_u - prior * np.logaddexp(0, f[positive]).sum() / n_p
         d_negative = np.where(positive, -prior * p / n_p, p / n_u)
@@ -141,18 +136,38 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, known: DataFrame, divis
         "n": [r[0] for r in bounded_sample(known.where("label = 0"), PRIOR_ROWS, seed + 2).collect()],
     }
     ids = spark.createDataFrame([(i,) for i in sorted(set().union(*picked.values()))], "doc_id long")
-    found = _texts(docs, ids).toArrow()
-    words = dict(zip(found.column("doc_id").to_pylist(), found.column("words").to_pylist()))
-    p, u, neg = ([words[i] for i in picked[k] if i in words] for k in "pun")
-    if not p:
+    found = _texts(docs, ids).toArrow().combine_chunks()
+    if not found.num_rows:
         return np.zeros(1 << BITS), -30.0, 1.0, 0.0
-    weights, bias = fit_nnpu(p + u, np.arange(len(p) + len(u)) < len(p), prior)
+    column = found.column("words").combine_chunks()
+    coded = column.flatten().dictionary_encode()
+    vocabulary, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    size = np.diff(column.offsets.to_numpy())
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = {}
+    for k, i in enumerate(found.column("doc_id").to_pylist()):
+        at.setdefault(i, k)  # of rows with one id, any will do for fitting
+
+    def take(*kinds: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        chosen = [[at[i] for i in picked[kind] if i in at] for kind in kinds]
+        rows = [k for c in chosen for k in c]
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), size[rows])
+        word = np.concatenate([code[begin[k] : begin[k + 1]] for k in rows]) if rows else code[:0]
+        return doc, word, [len(c) for c in chosen]
+
+    doc, word, (n_p, n_u) = take("p", "u")
+    if not n_p:
+        return np.zeros(1 << BITS), -30.0, 1.0, 0.0
+    weights, bias = fit_nnpu(vocabulary, doc, word, np.arange(n_p + n_u) < n_p, prior)
     # calibration: labelled rows of both kinds, weighted back to the prior
-    scores = WordScores(weights)
-    f = np.array([sum(sorted(map(scores.__getitem__, ws))) + bias for ws in p + neg])
-    y = (np.arange(len(f)) < len(p)).astype(float)
-    weight = len(f) * np.where(y > 0, prior / len(p), (1 - prior) / max(len(neg), 1))
-    slope, offset = platt(f, y, weight) if neg else (1.0, 0.0)
+    doc, word, (n_p, n_n) = take("p", "n")
+    by_word = np.zeros(len(vocabulary))
+    for w in np.unique(word).tolist():
+        by_word[w] = weights[word_features(vocabulary[w])].sum()
+    f = np.bincount(doc, by_word[word], minlength=n_p + n_n) + bias
+    y = (np.arange(len(f)) < n_p).astype(float)
+    weight = len(f) * np.where(y > 0, prior / n_p, (1 - prior) / max(n_n, 1))
+    slope, offset = platt(f, y, weight) if n_n else (1.0, 0.0)
     return weights, bias, slope, offset
 
 

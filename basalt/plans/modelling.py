@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, tele
+from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, silver, tele
 
 SIX_HOURS_US = 21_600_000_000
 
@@ -149,4 +149,6 @@ QUERIES = {
     "retrain_decision": lambda d: " ".join(["with", windowed(d), ",", psi(d, "grade", None, "is_ref", "is_eval"), "select psi > 0.2 or 0.31e0 > 0.26e0 * 1.15 as retrain, concat_ws(';', case when psi > 0.2 then 'psi' end, case when 0.31e0 > 0.26e0 * 1.15 then 'error' end) as reasons from psi"]),
     "promotion_decision": lambda d: f"with {split(d)}, e as (select avg(abs(target - grade)) as production, avg(abs(target - coalesce(grade_mean10, grade))) as staging from test) select round(production, 6) as production, round(staging, 6) as staging, case when staging < production then 'promote' else 'rollback' end as outcome from e",
     "matrix_fingerprint": lambda d: f"with {split(d)} select {'substring(sha2(s, 256), 1, 12)' if d.spark else 'substring(sha256(s), 1, 12)'} as fingerprint from (select concat(cast(count(*) as string), '|', cast(min(start_us) as string), '|', cast(max(start_us) as string), '|', cast(sum(n_events) as string)) as s from usable) as x",
+    "drift_report": lambda d: " ".join(["with", windowed(d), ",", psi(d, "grade", "sector", "is_ref", "is_eval"), f", detail as (select g, {'to_json(array_sort(collect_list(array(round(pr, 6), round(pa, 6)))))' if d.spark else 'cast(to_json(list_sort(list([round(pr, 6), round(pa, 6)]))) as varchar)'} as bins from parts group by g) select p.g as scope, psi, {VERDICT} as verdict, bins from psi p join detail b on p.g = b.g"]),
+    "quarantine_rate_by_sector": lambda d: f"with {silver(d)} select sector, count(*) as n, cast(sum(case when r_physical_limit or r_unknown_mineral or r_null_key then 1 else 0 end) as bigint) as rejected from judged where not r_duplicate group by sector",
 }

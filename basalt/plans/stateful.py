@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
-from basalt.functions.text import FACTS, fixed_chunks, page_blocks
+from basalt.functions.text import FACTS, fixed_chunks, page_blocks, strip_accents
 from basalt.operators.gold import refresh
+from basalt.operators.registry import Registry
 from basalt.operators.storage import scratch
 from basalt.operators.tables import VersionedTable
 from basalt.plans.dialect import DUCK, SPARK, Dialect, tele
-from basalt.plans.modelling import split
+from basalt.plans.modelling import label, split
 from basalt.streaming.ingest import read_csv, stream_to_table
 
 EVENTS = StructType([StructField(n, t) for n, t in (("event_id", LongType()), ("us", LongType()), ("front", StringType()), ("sector", StringType()), ("local_date", DateType()), ("shift", StringType()), ("year_month", StringType()), ("mineral", StringType()), ("grade", DoubleType()), ("tons", DoubleType()), ("failure_code", StringType()))])
@@ -130,9 +132,51 @@ def gbt_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.round(F.avg(F.abs(F.col("target") - F.col("prediction"))), 6).alias("mae"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (time_travel_diff, change_feed_cells, table_history, gold_incremental, csv_rescue_scan, stream_file_ingest, page_elements, chunk_fixed, fact_verification, gbt_grade)}
+def gbt_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted gradient-boosted classifier of the 4-hour failure label; what permuting each input costs."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = ["n_events", "n_failures", "max_vibration", "temp"]
+    rows = frame(spark, sf_dir, f"with {label(SPARK)} select front, start_us, {', '.join(columns)}, cast(y as double) as y from labelled")
+    cut, positive = rows.agg(F.expr("percentile(start_us, 0.8e0)"), F.avg("y")).first()
+    weight = (1 - positive) / positive if positive else 1.0
+    rows = rows.withColumn("w", F.when(F.col("y") > 0, weight).otherwise(1.0))
+    train, test = rows.where(F.col("start_us") <= cut), rows.where(F.col("start_us") > cut)
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(labelCol="y", weightCol="w", maxIter=5, maxDepth=3, seed=20250506)]).fit(train)
+
+    def brier(df: DataFrame, name: str) -> DataFrame:
+        p = model.transform(df).select("y", vector_to_array("probability")[1].alias("p"))
+        return p.agg(F.lit(name).alias("permuted"), F.round(F.avg((F.col("y") - F.col("p")) ** 2), 6).alias("brier"))
+
+    out = brier(test, "none")
+    for c in columns:
+        # every value moves to another row of its front, so the column keeps its distribution
+        moved = test.withColumn(c, F.coalesce(F.lag(c, 7).over(Window.partitionBy("front").orderBy("start_us")), F.col(c)))
+        out = out.unionByName(brier(moved, c))
+    return out
+
+
+def promotion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three registrations of a model, each staged and decided on."""
+    registry = Registry(spark, scratch(spark, "registry"))
+    for run, error in (("r1", 0.40), ("r2", 0.35), ("r3", 0.37)):
+        registry.log_run(run, {"mae": error})
+        registry.set_alias("grade", "staging", registry.register("grade", run, f"models/{run}"))
+        registry.decide("grade", "mae")
+    return registry.events.read()
+
+
+def accent_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang in ('es', 'fr', 'de')")
+    return docs.select("doc_id", F.length(strip_accents(F.col("text"))).cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (time_travel_diff, change_feed_cells, table_history, gold_incremental, csv_rescue_scan, stream_file_ingest, page_elements, chunk_fixed, fact_verification, gbt_grade, gbt_failure, promotion_log, accent_folding)}
 ORACLES = {
     "time_travel_diff": f"with {tele(DUCK)} select event_id, mineral as before, 'MIX' as after from tele where event_id % 37 = 0 and mineral <> 'MIX'",
+    "promotion_log": "select 'grade' as model, cast(n as bigint) as n, outcome, staging_error, production_error from (select 0 as n, 'promote' as outcome, 0.40e0 as staging_error, cast(null as double) as production_error union all select 1, 'promote', 0.35e0, 0.40e0 union all select 2, 'rollback', 0.37e0, 0.35e0) as x",
     "change_feed_cells": f"with {tele(DUCK)} select t as change_type, front, local_date, shift, count(*) as n from tele cross join (select 'update_preimage' as t union all select 'update_postimage') as x where event_id % 37 = 0 and mineral <> 'MIX' group by 1, 2, 3, 4",
     "gold_incremental": f"{_after_changes(DUCK)} select front, local_date, shift, count(*) as n_events, round(sum(tons), 6) as tons, round(sum(grade * tons) / sum(case when grade is not null then tons end), 6) as weighted_grade, count(failure_code) as n_failures, cast(sum(case when mineral = 'MIX' then 1 else 0 end) as bigint) as n_mix from now group by front, local_date, shift",
     "csv_rescue_scan": f"with {tele(DUCK)} select event_id % 100 = 0 as rescued, count(*) as n, round(sum(tons), 3) as tons from tele where event_id < 2000 group by 1",

@@ -80,4 +80,7 @@ QUERIES = {
     "context_precision": lambda d: f"with {contained(d)} select item_id, round(coalesce(sum(precision_at * relevant) / nullif(cast(sum(relevant) as double), 0), 0), 6) as precision_ from at_place group by item_id",
     "reference_recall": lambda d: f"with {contained(d)} select item_id, max(relevant) as recalled from judged group by item_id",
     "ablation_summary": lambda d: f"with {contained(d)} select 'line' as variant, round(avg(p), 6) as precision_, round(avg(r), 6) as recall from (select item_id, coalesce(sum(precision_at * relevant) / nullif(cast(sum(relevant) as double), 0), 0) as p, cast(max(relevant) as double) as r from at_place group by item_id) as x",
+    "strip_prefix": lambda d: f"with {lines(d)}, b as (select chunk_id, concat('[', source, ' · ', lang, '] ', line) as body from chunks) select chunk_id, regexp_replace(body, '^[^\\]]*\\] ', '') as body from b" if not d.spark else f"with {lines(d)}, b as (select chunk_id, concat('[', source, ' · ', lang, '] ', line) as body from chunks) select chunk_id, regexp_replace(body, r'^[^\\]]*\\] ', '') as body from b",
+    "reply_turns": lambda d: "select conv_id, count(*) as n_turns, cast(sum(case when role = 'assistant' then 1 else 0 end) as bigint) as n_replies, cast(max(length(text)) as bigint) as longest from conversations group by conv_id",
+    "vocabulary": lambda d: f"with {lines(d)}, w as (select {d.explode(d.words('line'))} as term, chunk_id from chunks) select term, count(*) as n, count(distinct chunk_id) as n_chunks from w where length(term) >= {MIN_TERM} group by term",
 }

@@ -18,7 +18,7 @@ from basalt.llm.common import as_bytes, bounded_sample, documents, fold, labelle
 
 BITS = 18
 FIT_ROWS = 10_000  # bound on the labelled rows used for fitting
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 8, 2.0, 1.0, 0.01, 0.0
 CACHE = 400_000
 
 

@@ -118,10 +118,10 @@ def mix(docs: DataFrame) -> DataFrame:
     counts, settled, level = {r.source_key: r.rows for r in per}, [], 0
     while counts:
         blocks = {k: -(-n // BLOCK) for k, n in counts.items()}
-        last = max(blocks.values()) == 1
+        last = max(blocks.values()) == 1  # (else the blocks are dealt by block, too: one source may hold a third of the rows)
         number = spark.createDataFrame(list(blocks.items()), "source_key string, blocks long")
         dealt = open_units.join(number, "source_key").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "row_hash"), F.col("blocks")))
-        done = stage(dealt.select("source_key", "doc_id", "row_hash", "size", "pi", "block").groupBy("source_key", "block").applyInPandas(_settle(level, last), schema)).drop("block")
+        done = stage(dealt.select("source_key", "doc_id", "row_hash", "size", "pi", "block").repartition("source_key", "block").groupBy("source_key", "block").applyInPandas(_settle(level, last), schema)).drop("block")
         settled.append(done if last else done.where("pi = 0 or pi = 1"))
         if last:
             break

@@ -3,7 +3,9 @@
 Every 200-byte window belongs to its minimizer, the least of the hashes of its k-byte strings; equal windows have
 equal minimizers, wherever they are.  A run of windows with one minimizer is a fragment.  Fragments whose minimizer
 occurs once cannot hold a repeated window.  The others meet by minimizer, each distinct content once, marked if it
-occurs more often, in shards whose suffix array and common prefixes (see suffix_array) tell which windows repeat.
+occurs more often, in shards whose suffix array and common prefixes (see suffix_array) tell which windows repeat.  A
+minimizer with more than HOT_CONTENTS distinct contents would make a shard too large for a task: its contents' windows
+are counted by their 128-bit hashes instead, which spreads them over all tasks.
 
 Null texts are empty, texts under 200 bytes keep all bytes; rows with the same text repeat each other; an empty
 table gives an empty result.  A match may cut a UTF-8 sequence: digests are of the exact bytes kept; the stage's
@@ -33,6 +35,7 @@ WINDOWS = LENGTH - GRAM + 1  # k-byte strings of a window
 SEGMENT = 1 << 21  # windows that are hashed at once
 SHARD_BYTES = 1_500_000  # bytes of a suffix array
 KEY_ROWS = 20_000
+HOT_CONTENTS = 40_000  # distinct contents of one minimizer (some 10 MB) that a shard takes
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list = []
 
@@ -203,6 +206,26 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield settle()
 
 
+def _counted(sent: DataFrame) -> DataFrame:
+    """Contents (minimizer, content, twice, data) -> (minimizer, content, starts), by counting hashed windows."""
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {n: [] for n in ("minimizer", "content", "at", "window", "times")}
+            for m, c, twice, data in zip(*(batch.column(n).to_pylist() for n in ("minimizer", "content", "twice", "data"))):
+                for i in range(len(data) - LENGTH + 1):
+                    for name, value in zip(out, (m, c, i, xxhash.xxh3_128_digest(data[i : i + LENGTH]), 1 + twice)):
+                        out[name].append(value)
+            return out
+
+        return step
+
+    windows = map_batches(sent, start, "minimizer long, content long, at int, window binary, times int")
+    often = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    found = windows.join(often, "window").groupBy("minimizer", "content").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return found.select("minimizer", "content", F.flatten(F.transform("at", lambda i: F.array(i, F.lit(1)))).alias("starts"))
+
+
 def cut_spans(b: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
     """(bytes kept, removed runs) for runs of repeated windows (first, number)."""
     kept, spans, at = [], 0, 0
@@ -256,8 +279,13 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return step
 
     sent = map_batches(texts.where(F.size("firsts") > 0).select("data", "firsts"), contents, "minimizer long, content long, twice boolean, data binary")
-    sent = sent.repartition(_partitions(docs), "minimizer").sortWithinPartitions("minimizer")
-    repeats = map_stream(sent, _shards, "minimizer long, content long, starts array<int>")
+    hot = stage(rows.where("first").groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTENTS).select("minimizer"))
+    some_hot = not hot.isEmpty()
+    cold = sent.join(hot, "minimizer", "left_anti") if some_hot else sent
+    cold = cold.repartition(_partitions(docs), "minimizer").sortWithinPartitions("minimizer")
+    repeats = map_stream(cold, _shards, "minimizer long, content long, starts array<int>")
+    if some_hot:
+        repeats = repeats.unionByName(_counted(sent.join(hot, "minimizer", "left_semi")))
     where = F.shiftrightunsigned(F.col("place"), 8).bitwiseAND(F.lit(0xFFFFFFFF))
     runs = rows.select("doc_id", "place", "minimizer", "content").join(repeats, ["minimizer", "content"]).groupBy("doc_id", mark.alias("mark")).agg(F.collect_list(F.struct(where.alias("at"), "starts")).alias("runs"))
     return texts.select("doc_id", "mark", "data"), runs

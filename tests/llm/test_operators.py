@@ -314,3 +314,12 @@ def test_token_counts(results):
 def test_no_side_output_of_models_differs_between_runs(spark, tables, results):
     again = queries.QUERIES["op7_cube_mixing"](spark, tables["full"]).toPandas()
     assert by_text(again, "doc_id", "size", "taken") == by_text(results("op7_cube_mixing"), "doc_id", "size", "taken")
+
+
+def test_hot_minimizers_are_counted(spark, tables, results, monkeypatch):
+    from basalt.llm import exact_substrings
+
+    monkeypatch.setattr(exact_substrings, "HOT_CONTENTS", 0)  # every minimizer is hot
+    got = queries.QUERIES["op6_suffix_dedup"](spark, tables["full"]).toPandas()
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_text(got, *columns) == by_text(results("op6_suffix_dedup"), *columns)

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from basalt.llm.common import as_bytes, bounded_sample, documents, fold, labelled, map_batches, share
 
 BITS = 19
-POSITIVE_ROWS, UNLABELLED_ROWS, PRIOR_ROWS = 3_000, 6_000, 2_000  # bounds on the rows used for fitting
+POSITIVE_ROWS, UNLABELLED_ROWS, PRIOR_ROWS = 2_500, 4_500, 1_500  # bounds on the rows used for fitting
 STEPS, RATE, L1, MIN_ROWS = 150, 0.05, 2e-4, 4
 CACHE = 400_000
 PUNCTUATION = b".,;:!?*#$%&|<>\"'()"

@@ -25,6 +25,7 @@ from basalt.llm.common import WORD_RE, documents, stage
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 2_000  # units of a block on average
+MOST_BROADCAST = 50_000  # sources whose facts are sent to the tasks; more meet the units in a join
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -112,15 +113,16 @@ def mix(docs: DataFrame) -> DataFrame:
         ratio = min(t / r.n, MOST) if r.n else 0.0
         whole = min(int(ratio + 1e-12), int(MOST))
         facts.append((r.source_key, r.n, float(t), whole, max(0.0, ratio - whole)))
+    sent = F.broadcast if len(facts) <= MOST_BROADCAST else (lambda small: small)
     schema = "source_key string, doc_id long, row_hash long, size long, pi double, block long"
     table = spark.createDataFrame(facts, "source_key string, source_size long, target double, whole long, pi double")
-    open_units = units.join(table.select("source_key", "pi"), "source_key")
+    open_units = units.join(sent(table.select("source_key", "pi")), "source_key")
     counts, settled, level = {r.source_key: r.rows for r in per}, [], 0
     while counts:
         blocks = {k: -(-n // BLOCK) for k, n in counts.items()}
         last = max(blocks.values()) == 1  # (else the blocks are dealt by block, too: one source may hold a third of the rows)
         number = spark.createDataFrame(list(blocks.items()), "source_key string, blocks long")
-        dealt = open_units.join(number, "source_key").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "row_hash"), F.col("blocks")))
+        dealt = open_units.join(sent(number), "source_key").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "row_hash"), F.col("blocks")))
         done = stage(dealt.select("source_key", "doc_id", "row_hash", "size", "pi", "block").repartition("source_key", "block").groupBy("source_key", "block").applyInPandas(_settle(level, last), schema)).drop("block")
         settled.append(done if last else done.where("pi = 0 or pi = 1"))
         if last:
@@ -132,7 +134,7 @@ def mix(docs: DataFrame) -> DataFrame:
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.col("pi").cast("long")).alias("copies")
-    out = out.join(table.drop("pi"), "source_key").select("doc_id", "row_hash", "size", "source_size", "target", copies)
+    out = out.join(sent(table.drop("pi")), "source_key").select("doc_id", "row_hash", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 

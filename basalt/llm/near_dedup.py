@@ -4,9 +4,11 @@ A text's elements are its five-word shingles, weighted by how often they occur (
 shingle).  Hashed darts fall on every element's weighted region at unit rate; of those below a rank that depends on
 the total weight, the earliest in each of ``K`` coordinates is kept.  Two texts agree in a coordinate with the
 probability of their weighted Jaccard similarity.  Equal texts are one node.  Bands of the signature send nodes to
-buckets; in a bucket every node is paired with the bucket's pivot only (the order that elects pivots differs between
-bands, so that one dissimilar pivot hides no link), pairs are verified on the exact shingles, and classes are the
-connected components of the verified links.
+buckets; in a bucket every node is paired with the bucket's pivot (the order that elects pivots differs between
+bands), then, where a bucket still has nodes of different components, with the node that has most links so far, and at
+last every two nodes of it that are in different components are paired.  Pairs are verified on the exact shingles, and
+classes are the connected components of the verified links: every two nodes of a bucket are compared or already of
+one class.
 
 Null texts are empty; all empty texts are one class; equal rows are of one class, of which one row is kept; an
 empty table gives an empty result; null ids are allowed and come last in electing the kept row.  Columns other than
@@ -32,6 +34,8 @@ BANDS, ROWS = 32, 4  # at similarity 0.8 a pair misses all bands with probabilit
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K  # darts expected over a whole text
 ORDERS = 4
+HUBS = 2  # rounds in which the best linked nodes are pivots
+BLOCK = 512  # nodes of a block; two blocks of a bucket meet in a cell
 CACHE = 300_000
 GOLD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -162,6 +166,67 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "text_a", "text_b"), start, "u binary, v binary")
 
 
+def _text_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(tid), distinct -> tid, text."""
+    wanted = wanted.join(nodes.select("tid", "rep"), "tid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_id().alias("tid"), "text")
+    # the id in the key spreads the copies of one text; equal rows are then one
+    texts = wanted.join(texts, (texts["tid"] == wanted["tid"]) & texts["rep"].eqNullSafe(wanted["rep"])).groupBy(wanted["tid"]).agg(F.first("text").alias("text"))
+    return stage(texts)
+
+
+def _with_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with text_a and text_b."""
+    texts = _text_of(docs, nodes, pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct())
+    return pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+
+
+def _open(rest: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """rest(key, tid) of the buckets with nodes of different components, with each node's root and the bucket's n and hub."""
+    ends = links.select(F.col("u").alias("tid")).union(links.select(F.col("v").alias("tid")))
+    known = roots.withColumnRenamed("node", "tid").join(ends.groupBy("tid").agg(F.count("*").alias("degree")), "tid", "left")
+    rooted = rest.join(known, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    best = F.max(F.struct("degree", F.xxhash64("tid"), "tid", "root"))
+    buckets = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), best.alias("best")).where("low <> high")
+    return rooted.join(buckets, "key").select("key", "tid", "root", "n", F.col("best.tid").alias("hub"), F.col("best.root").alias("hub_root"))
+
+
+def _hub_pairs(rest: DataFrame) -> DataFrame:
+    """Every node with its bucket's hub, unless they are of one component."""
+    return rest.where("tid <> hub and root <> hub_root").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """Verified links of a cell's two blocks (or one with itself); nodes that share buckets meet in the first only."""
+    key, low, high = (cell.column(c)[0].as_py() for c in ("key", "low", "high"))
+    tid, root, keys = (cell.column(c).to_pylist() for c in ("tid", "root", "keys"))
+    hashes, block, keys = WordHash(), cell.column("block").to_pylist(), [frozenset(k) for k in keys]
+    found = [elements(b, hashes) for b in as_bytes(cell.column("text").combine_chunks())]
+    weight = [int(w.sum()) for _, w in found]
+    left, right = ([i for i, x in enumerate(block) if x == side] for side in (low, high))
+    u, v = [], []
+    for i in left:
+        for j in right:
+            if (low == high and i >= j) or root[i] == root[j]:
+                continue
+            # the smaller weight over the larger bounds the similarity
+            if min(weight[i], weight[j]) < SIMILAR * max(weight[i], weight[j]) * (1 - 1e-9) or min(keys[i] & keys[j]) != key:
+                continue
+            if similarity(found[i], found[j]) >= SIMILAR:
+                u.append(tid[i])
+                v.append(tid[j])
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+
+def _cross_links(docs: DataFrame, nodes: DataFrame, rest: DataFrame) -> DataFrame:
+    """Links between any two nodes of a bucket that are of different components; the blocks of a bucket meet in cells."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rest.groupBy("tid").agg(F.collect_set("key").alias("keys")).join(_text_of(docs, nodes, rest.select("tid").distinct()), "tid")
+    placed = rest.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = placed.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tid", "root").join(own, "tid")
+    return cells.groupBy("key", "low", "high").applyInArrow(_cell_links, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, tid (its text's id), class_id (the least doc_id of its class), kept; one row a row.
 
@@ -171,15 +236,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stage(rows.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     dealt = nodes.select("tid", F.posexplode("bands").alias("band", "key"))
     order = F.xxhash64(F.col("band") % ORDERS, "tid")
-    pivots = dealt.groupBy("key").agg(F.min_by("tid", order).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    pairs = stage(dealt.join(pivots, "key").where("tid <> pivot").select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct().join(nodes.select("tid", "rep"), "tid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_id().alias("tid"), "text")
-    # the id in the key spreads the copies of one text; equal rows are then one
-    texts = wanted.join(texts, (texts["tid"] == wanted["tid"]) & texts["rep"].eqNullSafe(wanted["rep"])).groupBy(wanted["tid"]).agg(F.first("text").alias("text"))
-    texts = stage(texts)
-    full = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = connected_components(_verified(full))
+    pivots = dealt.groupBy("key").agg(F.min_by("tid", order).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    met = stage(dealt.join(pivots, "key").where("tid <> pivot").select("key", "tid", "pivot", "n"))
+    pairs = stage(met.select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = stage(_verified(_with_texts(docs, nodes, pairs)))
+    roots = connected_components(links)
+    rest = met.where("n > 2").select("key", "tid")
+    for _ in range(HUBS):
+        rest = stage(_open(rest, roots, links))
+        ends = [F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")]
+        new = stage(_hub_pairs(rest).select("a", "b", *ends).join(pairs.select(*ends), ["x", "y"], "left_anti").select("a", "b"))
+        rest = rest.where("tid <> hub").select("key", "tid")
+        if new.isEmpty():
+            break
+        pairs, links = pairs.union(new), links.union(stage(_verified(_with_texts(docs, nodes, new))))
+        roots = connected_components(links)
+    rest = stage(_open(rest, roots, links))
+    if not rest.isEmpty():
+        roots = connected_components(links.union(stage(_cross_links(docs, nodes, rest))))
     grouped = nodes.select("tid", "rep").join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "tid")).alias("head"))
     classes = grouped.join(heads, "root").select("tid", "class_id", F.col("head.rep").alias("head_rep"), (F.col("head.tid") == F.col("tid")).alias("head"))

@@ -323,3 +323,37 @@ def test_hot_minimizers_are_counted(spark, tables, results, monkeypatch):
     got = queries.QUERIES["op6_suffix_dedup"](spark, tables["full"]).toPandas()
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert by_text(got, *columns) == by_text(results("op6_suffix_dedup"), *columns)
+
+
+def test_near_duplicates_of_a_star_are_one_class(spark):
+    from basalt.llm.near_dedup import SIMILAR, WordHash, elements, near_duplicates, similarity
+
+    own, base = np.random.default_rng(7), [f"w{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for i in range(200):
+        changed = set(own.choice(400, 6, replace=False).tolist())
+        texts.append(" ".join(f"v{i}w{k}" if k in changed else w for k, w in enumerate(base)))
+    found = [elements(t.encode(), WordHash()) for t in texts]
+    assert min(similarity(found[0], f) for f in found[1:]) >= SIMILAR
+    among = [similarity(a, b) for i, a in enumerate(found[1:]) for b in found[i + 2 :]]
+    assert np.mean(np.array(among) < SIMILAR) > 0.95
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_near_duplicates_off_the_pivots_are_linked(spark, monkeypatch):
+    from basalt.llm import near_dedup
+
+    # a template family without links but those between twins; small blocks, so that cells of two blocks meet
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    own, base = np.random.default_rng(8), [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(40):
+        changed = set(own.choice(400, 10, replace=False).tolist())
+        one = [f"v{i}w{k}" if k in changed else w for k, w in enumerate(base)]
+        texts += [" ".join(one), " ".join(one[:-1] + ["last"])]
+    found = [near_dedup.elements(t.encode(), near_dedup.WordHash()) for t in texts]
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if near_dedup.similarity(found[i], found[j]) >= near_dedup.SIMILAR}
+    assert want == {(i, i + 1) for i in range(0, 80, 2)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: i - i % 2 for i in range(80)}

@@ -20,7 +20,7 @@ def lines(d: Dialect) -> str:
         cut = "select doc_id, source, lang, pos + 1 as n, line from (select doc_id, source, lang, posexplode(split(text, '\\n')) as (pos, line) from documents) as x"
     else:
         cut = "select doc_id, source, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n, unnest(string_split(text, chr(10))) as line from documents"
-    return f"pieces as ({cut}), chunks as (select doc_id, source, lang, cast(n as bigint) as n, concat(cast(doc_id as string), '#line#', lpad(cast(n as string), 3, '0')) as chunk_id, line from pieces where trim(line) <> '' and doc_id < 300)"
+    return f"pieces as ({cut}), chunks as (select doc_id, source, lang, cast(n as bigint) as n, concat(cast(doc_id as string), '#line#', lpad(cast(n as string), 3, '0')) as chunk_id, line from pieces where trim(line) <> '')"
 
 
 def terms(d: Dialect) -> str:

@@ -1,14 +1,14 @@
 """Document and retrieval queries: elements, chunks, dense and lexical search, fusion, gates, verification.
 
-Chunks are the lines of ``documents``; questions are the ``benchmark`` items with the least ids; dense search runs over
-``embeddings``.
+Chunks are the lines of ``documents``; questions are the ``benchmark`` items; dense search runs over ``embeddings``,
+each vector against all others.
 """
 
 from __future__ import annotations
 
 from basalt.plans.dialect import Dialect
 
-QUESTIONS, CANDIDATES, TOP = 5, 18, 6
+CANDIDATES, TOP = 18, 6
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 MIN_TERM, CONTAINED = 4, 0.6
 MAX_CHUNK = 900
@@ -25,7 +25,7 @@ def lines(d: Dialect) -> str:
 
 def terms(d: Dialect) -> str:
     return lines(d) + f""", tokens as (select chunk_id, {d.explode(d.words('line'))} as term from chunks),
-      questions as (select item_id, text from benchmark where item_id < {QUESTIONS}), asked as (select item_id, {d.explode(d.words('text'))} as term from questions)"""
+      questions as (select item_id, text from benchmark), asked as (select item_id, {d.explode(d.words('text'))} as term from questions)"""
 
 
 def bm25(d: Dialect) -> str:
@@ -46,8 +46,8 @@ def dot(a: str, b: str, d: Dialect) -> str:
 
 
 def dense(d: Dialect) -> str:
-    """Cosine neighbours of the first vectors; the questions' side is a bounded number of rows."""
-    return f"""asked_vectors as (select vec_id as item_id, embedding as q, sqrt({dot('embedding', 'embedding', d)}) as q_norm from embeddings where vec_id < {QUESTIONS}),
+    """Cosine neighbours of every vector among all others."""
+    return f"""asked_vectors as (select vec_id as item_id, embedding as q, sqrt({dot('embedding', 'embedding', d)}) as q_norm from embeddings),
       near as (select a.item_id, e.vec_id, round({dot('a.q', 'e.embedding', d)} / (q_norm * sqrt({dot('e.embedding', 'e.embedding', d)})), 6) as cosine from embeddings e join asked_vectors a on e.vec_id <> a.item_id),
       dense_top as (select * from (select *, cast(row_number() over (partition by item_id order by cosine desc, vec_id) as bigint) as place from near) as x where place <= {CANDIDATES})"""
 

@@ -14,3 +14,12 @@ def test_chunks_cover_every_document(spark):
         want[doc_id] += sum(line.strip(" ") != "" for line in (text or "").split("\n"))
     got = catalogue.QUERIES["paragraph_elements"](spark, SF).collect()
     assert max(want) >= 300 and Counter(int(r.chunk_id.split("#")[0]) for r in got) == +want
+
+
+def test_every_question_and_vector_is_asked(spark):
+    small = "/root/testdata/sf0.001"
+    items = {r.item_id for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id").collect()}
+    vectors = {r.vec_id for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect()}
+    asked = lambda name: {r.item_id for r in catalogue.QUERIES[name](spark, small).select("item_id").collect()}
+    assert len(items) > 5 and asked("term_coverage") == items and len(asked("bm25_topk")) > 5
+    assert len(vectors) > 5 and asked("dense_topk") == vectors

@@ -86,9 +86,16 @@ def word_ids(path: str) -> WordIds:
     return _TOKENIZERS[path]
 
 
-def lower(b: bytes) -> bytes:
-    """ASCII lower case (the tokenizer's own normal form), unless a special token's mark makes case matter."""
-    return b if b"<|" in b else b.lower()
+def split_words(b: bytes) -> list[bytes]:
+    """Words, ASCII ones in lower case (the tokenizer's own normal form), unless a special token's mark makes case matter.
+
+    Words with other letters stay as they are: the tokenizer composes letters and marks before it folds case.
+    """
+    if b"<|" in b:
+        return b.split()
+    if b.isascii():
+        return b.lower().split()
+    return [w.lower() if w.isascii() else w for w in b.split()]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -100,7 +107,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         ids = word_ids(path)
 
         def step(batch: pa.RecordBatch) -> dict:
-            texts = [lower(b).split() for b in as_bytes(batch.column(1))]
+            texts = [split_words(b) for b in as_bytes(batch.column(1))]
             table = ids.learn(set().union(*map(set, texts)))
             out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
             for doc_id, words in zip(batch.column(0).to_pylist(), texts):
@@ -266,8 +273,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     table = share(spark, places(plan(histogram, capacity)))
-    buckets = -(-sum(histogram.values()) // RANK_ROWS) or 1
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # (at most ``capacity`` rows)
+    buckets = spark.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in histogram.items()], "length long, buckets long")
+    dealt = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -7,7 +7,8 @@ occurs more often, in shards whose suffix array and common prefixes (see suffix_
 minimizer with more than HOT_CONTENTS distinct contents would make a shard too large for a task: its contents' windows
 are counted by their 128-bit hashes instead, which spreads them over all tasks.
 
-Null texts are empty, texts under 200 bytes keep all bytes; rows with the same text repeat each other; an empty
+Null texts are empty, texts under 200 bytes keep all bytes; rows with the same text repeat each other (rows that also
+share their id are one text, counted as often as it occurs); an empty
 table gives an empty result.  A match may cut a UTF-8 sequence: digests are of the exact bytes kept; the stage's
 texts drop the sequence's remains.  Columns other than doc_id and text pass the stage untouched (but n_chars, which
 is brought up to date), whatever their names.
@@ -34,7 +35,6 @@ GRAM = 40
 WINDOWS = LENGTH - GRAM + 1  # k-byte strings of a window
 SEGMENT = 1 << 21  # windows that are hashed at once
 SHARD_BYTES = 1_500_000  # bytes of a suffix array
-KEY_ROWS = 20_000
 HOT_CONTENTS = 40_000  # distinct contents of one minimizer (some 10 MB) that a shard takes
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list = []
@@ -114,63 +114,29 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds))
 
 
-def text_mark() -> Column:
-    """24 bits of the text's hash: tells rows with one id and different texts apart."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40)
+def row_keys() -> list[Column]:
+    """128 bits that stand for a row's id and text; equal rows share them."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", text).alias(f"k{k}") for k in (1, 2)]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_keys(), "text")
 
 
 def _fragment_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, minimizer, content): place holds the text's mark, the first window and the number of windows."""
+    """(k1, k2, place, minimizer, content): place holds the first window and the number of windows less one."""
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
-            ids, marks = batch.column(0), batch.column(1).to_numpy().astype(np.uint64)
             text, first, count, minimizer, content = fragments(as_bytes(batch.column(2)))
-            place = (marks[text] << np.uint64(40)) | (first.astype(np.uint64) << np.uint64(8)) | (count - 1).astype(np.uint64)
-            return {"doc_id": ids.take(pa.array(text)), "place": place.view(np.int64), "minimizer": minimizer.view(np.int64), "content": content.view(np.int64)}
+            place = (first << 8) | (count - 1)
+            row = pa.array(text)
+            return {"k1": batch.column(0).take(row), "k2": batch.column(1).take(row), "place": place, "minimizer": minimizer.view(np.int64), "content": content.view(np.int64)}
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
-    return map_batches(rows, start, "doc_id long, place long, minimizer long, content long")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows sorted by (minimizer, content) -> those whose minimizer occurs again; needs but one row on either side.
-
-    ``twice``: the content occurs again; ``first``: the row stands for its content.
-    """
-    names = ("doc_id", "place", "minimizer", "content")
-    held: tuple | None = None
-    before = (None, None)
-
-    def settle(rows: tuple, after: tuple) -> dict:
-        ids, place, m, c = rows
-        m_before, c_before = np.empty_like(m), np.empty_like(c)
-        m_before[1:], c_before[1:] = m[:-1], c[:-1]
-        m_after, c_after = np.empty_like(m), np.empty_like(c)
-        m_after[:-1], c_after[:-1] = m[1:], c[1:]
-        back_m, back = np.ones(len(m), bool), np.ones(len(m), bool)
-        ahead_m, ahead = back_m.copy(), back.copy()
-        back_m[1:] = m[1:] == m_before[1:]
-        back[1:] = back_m[1:] & (c[1:] == c_before[1:])
-        ahead_m[:-1] = m[:-1] == m_after[:-1]
-        ahead[:-1] = ahead_m[:-1] & (c[:-1] == c_after[:-1])
-        back_m[0], back[0] = before[0] == m[0], before == (m[0], c[0])
-        ahead_m[-1], ahead[-1] = after[0] == m[-1], after == (m[-1], c[-1])
-        keep = np.flatnonzero(back_m | ahead_m)
-        return {"doc_id": ids.take(pa.array(keep)), "place": place[keep], "minimizer": m[keep], "content": c[keep], "twice": (back | ahead)[keep], "first": ~back[keep]}
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = (batch.column("doc_id"), *(batch.column(n).to_numpy() for n in names[1:]))
-        if held is not None:
-            yield settle(held, (rows[2][0], rows[3][0]))
-            before = (held[2][-1], held[3][-1])
-        held = rows
-    if held is not None:
-        yield settle(held, (None, None))
+    return map_batches(_keyed(docs), start, "k1 long, k2 long, place long, minimizer long, content long")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -242,23 +208,32 @@ def cut_spans(b: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> the texts that share a minimizer with any (doc_id, mark, data: zstd), and their repeated windows
-    (doc_id, mark, starts: array of first and number)."""
-    found = map_stream(_fragment_rows(docs).repartition(_partitions(docs), "minimizer").sortWithinPartitions("minimizer", "content"), _shared, "doc_id long, place long, minimizer long, content long, twice boolean, first boolean")
-    rows = stage(found, KEY_ROWS)
-    mark = F.shiftrightunsigned("place", 40)
-    lists = rows.groupBy("doc_id", mark.alias("mark")).agg(F.collect_list(F.when(F.col("first"), F.struct("place", "minimizer", "content", "twice"))).alias("firsts"))
+    """docs(doc_id, text) -> the texts that share a minimizer with any (k1, k2, data: zstd), and their repeated windows
+    (k1, k2, starts: array of first and number).
+
+    Fragments are counted by minimizer and by content before they are exchanged, so a key of any number of fragments
+    is a row a task; the fragments meet these counts in joins, whose large side can be split anywhere.
+    """
+    every = stage(_fragment_rows(docs), BATCH_ROWS)
+    shared = every.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer")
+    rows = stage(every.join(shared, "minimizer").select("k1", "k2", "place", "minimizer", "content"))
+    distinct = rows.groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("first"))
+    distinct = stage(distinct.select("minimizer", "content", (F.col("n") > 1).alias("twice"), "first.*"))
+    # the rows that share a minimizer, and of each content the first row
+    firsts = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "minimizer", "content", "twice")).alias("firsts"))
+    sharing = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).select("k1", "k2")
+    lists = sharing.join(firsts, ["k1", "k2"], "left")
 
     def compress():
         z = zstandard.ZstdCompressor(level=1)
 
         def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column(0), "mark": batch.column(1), "data": [z.compress(b) for b in as_bytes(batch.column(2))]}
+            return {"k1": batch.column(0), "k2": batch.column(1), "data": [z.compress(b) for b in as_bytes(batch.column(2))]}
 
         return step
 
-    packed = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text").where(F.octet_length("text") >= LENGTH), compress, "doc_id long, mark long, data binary")
-    texts = packed.alias("t").join(lists.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.mark") == F.col("l.mark"))).select("t.doc_id", "t.mark", "data", "firsts")
+    packed = map_batches(_keyed(docs.where(F.octet_length("text") >= LENGTH)), compress, "k1 long, k2 long, data binary")
+    texts = packed.dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"]).select("k1", "k2", "data", F.coalesce("firsts", F.array()).alias("firsts"))
     texts = stage(texts, BATCH_ROWS)
 
     def contents():
@@ -279,16 +254,16 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return step
 
     sent = map_batches(texts.where(F.size("firsts") > 0).select("data", "firsts"), contents, "minimizer long, content long, twice boolean, data binary")
-    hot = stage(rows.where("first").groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTENTS).select("minimizer"))
+    hot = stage(distinct.groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTENTS).select("minimizer"))
     some_hot = not hot.isEmpty()
     cold = sent.join(hot, "minimizer", "left_anti") if some_hot else sent
     cold = cold.repartition(_partitions(docs), "minimizer").sortWithinPartitions("minimizer")
     repeats = map_stream(cold, _shards, "minimizer long, content long, starts array<int>")
     if some_hot:
         repeats = repeats.unionByName(_counted(sent.join(hot, "minimizer", "left_semi")))
-    where = F.shiftrightunsigned(F.col("place"), 8).bitwiseAND(F.lit(0xFFFFFFFF))
-    runs = rows.select("doc_id", "place", "minimizer", "content").join(repeats, ["minimizer", "content"]).groupBy("doc_id", mark.alias("mark")).agg(F.collect_list(F.struct(where.alias("at"), "starts")).alias("runs"))
-    return texts.select("doc_id", "mark", "data"), runs
+    at = F.shiftrightunsigned(F.col("place"), 8)
+    runs = rows.join(repeats, ["minimizer", "content"]).groupBy("k1", "k2").agg(F.collect_set(F.struct(at.alias("at"), "starts")).alias("runs"))
+    return texts.select("k1", "k2", "data"), runs
 
 
 def _partitions(docs: DataFrame) -> int:
@@ -296,46 +271,42 @@ def _partitions(docs: DataFrame) -> int:
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, mark, n_removed, n_spans, kept_sha256 (and kept: the text left) of the texts that lose bytes."""
+    """docs(doc_id, text) -> k1, k2, n_removed, n_spans, kept_sha256 (and kept: the text left) of the texts that lose bytes."""
     texts, runs = repeated_windows(docs)
 
     def start():
         z = zstandard.ZstdDecompressor()
 
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "mark", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for doc_id, mark, data, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            out: dict[str, list] = {n: [] for n in ("k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for k1, k2, data, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 b = z.decompress(data)
                 kept, spans = cut_spans(b, [(r["at"] + o, n) for r in runs for o, n in zip(r["starts"][::2], r["starts"][1::2])])
-                for name, value in zip(out, (doc_id, mark, len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)):
+                for name, value in zip(out, (k1, k2, len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)):
                     out[name].append(value)
             return out
 
         return step
 
-    both = texts.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.mark") == F.col("r.mark"))).select("t.doc_id", "t.mark", "data", "runs")
-    out = map_batches(both, start, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    # equal rows come out as often as they went in; one of them answers for all
-    return out.dropDuplicates(["doc_id", "mark"])
+    both = texts.join(runs, ["k1", "k2"]).select("k1", "k2", "data", "runs")
+    return map_batches(both, start, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     data = F.coalesce("text", F.lit("")).cast("binary")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"))
-    cut = remove_repeats(docs).drop("kept")
-    joined = every.alias("e").join(cut.alias("c"), F.col("e.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("e.mark") == F.col("c.mark")), "left")
+    every = docs.select("doc_id", *row_keys(), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"))
+    joined = every.join(remove_repeats(docs).drop("kept"), ["k1", "k2"], "left")
     zero = F.lit(0).cast("long")
-    return joined.select("e.doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its repeated bytes, n_chars brought up to date."""
     columns = docs.columns
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("k_id"), text_mark().alias("k_mark"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("row", *row_keys())
     cut = remove_repeats(docs.select("doc_id", "text"), keep_text=True)
-    joined = own.join(cut.alias("c"), own["k_id"].eqNullSafe(F.col("c.doc_id")) & (own["k_mark"] == F.col("c.mark")), "left")
-    out = joined.select("row", F.coalesce("c.kept", "row.text").alias("new_text"))
+    out = own.join(cut, ["k1", "k2"], "left").select("row", F.coalesce("kept", "row.text").alias("new_text"))
     changes = {"text": F.col("new_text")}
     if "n_chars" in columns:
         changes["n_chars"] = F.char_length(F.coalesce("new_text", F.lit(""))).cast(dict(docs.dtypes)["n_chars"])

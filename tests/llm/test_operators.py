@@ -174,6 +174,65 @@ def test_toxicity(results):
     assert ((part.predicted == 1) == ((part.doc_id - 100) % 3 == 0)).mean() > 0.95
 
 
+def test_pu_risk_and_its_slope():
+    from basalt.llm.toxicity import risk_gradient
+
+    own = np.random.default_rng(2)
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+    for low in (False, True):
+        f, positive, prior = own.normal(0, 1, 40), np.arange(40) < 12, 0.3
+        if low:  # unlabelled rows far below: the estimated risk of negatives is under 0
+            f[12:] -= 8
+        of_negatives = np.mean([loss(-z) for z in f[12:]]) - prior * np.mean([loss(-z) for z in f[:12]])
+        of_positives = prior * np.mean([loss(z) for z in f[:12]])
+        risk, slope = risk_gradient(f, positive, prior)
+        assert risk == pytest.approx(of_positives + max(0.0, of_negatives)) and (of_negatives < 0) == low
+        part = lambda g: (np.mean([loss(-z) for z in g[12:]]) - prior * np.mean([loss(-z) for z in g[:12]])) * (-1 if low else 1) + (0 if low else prior * np.mean([loss(z) for z in g[:12]]))
+        for k in (0, 5, 20, 39):
+            step = np.zeros(40)
+            step[k] = 1e-5
+            assert slope[k] == pytest.approx((part(f + step) - part(f - step)) / 2e-5, rel=1e-4, abs=1e-9)
+
+
+def test_word_features_by_hand(monkeypatch):
+    from basalt.llm import toxicity
+
+    def own(token):
+        w = token.strip(toxicity.PUNCTUATION)
+        if not w:
+            return Counter()
+        size = lambda h: (int(h) * int(toxicity.GOLD) & (1 << 64) - 1) >> 64 - toxicity.BITS
+        closed, out = b"^" + w + b"$", Counter([size(zlib.crc32(w))])
+        grams = [closed[i : i + k] for k in (4, 5, 6) for i in range(len(closed) - k + 1)] + [closed[:k] for k in (7, 8, 9) if len(closed) >= k]
+        for g in grams:
+            h = 0
+            for x in g:
+                h = (h * 0x100000001B3 + x) & (1 << 64) - 1
+            out[size(h ^ len(g))] += 1
+        return out
+
+    tokens = [b"idiotic,", b"a", b"**", "ñandú".encode(), b"xy" * 40, b"idiot"]
+    for part in (1 << 18, 7):
+        monkeypatch.setattr(toxicity, "PART", part)
+        got = [Counter() for _ in tokens]
+        for owner, feature in toxicity.word_features(tokens):
+            for o, f in zip(owner.tolist(), feature.tolist()):
+                got[o][f] += 1
+        assert got == [own(t) for t in tokens]
+
+
+def test_scores_are_sums_over_features(spark, tables):
+    from basalt.llm import toxicity
+
+    live = np.arange(0, 1 << toxicity.BITS, 3, dtype=np.int32)
+    weights = np.random.default_rng(3).normal(0, 0.05, len(live))
+    docs = spark.createDataFrame([(i, t, True) for i, t in TEXTS], "doc_id long, text string, positive boolean").coalesce(1)
+    x = toxicity.vectors(docs, live).toPandas()
+    got = toxicity.score_toxicity(docs.select("doc_id", "text"), (live, weights, -1.0)).toPandas()
+    want = [1 / (1 + np.exp(1.0 - (weights[i] @ np.array(v, float) if len(i) else 0.0))) for i, v in zip(x["index"], x["value"])]
+    assert np.allclose(got.toxicity, want, atol=1e-5)
+
+
 def test_quality(results):
     got = results("op8_quality_ftrl")
     assert len(got) == len(TEXTS) and ((got.score >= 0.3).astype(int) == got.predicted).all()
@@ -212,9 +271,8 @@ def test_scaled_hash_matches_reference(spark):
     assert spark.createDataFrame([(text,)], "text string").select(sketch(F.col("text"))).first()[0] == want
 
 
-def test_repeated_bytes(results):
-    got = results("op6_suffix_dedup")
-    texts = [(d, (t or "").encode()) for d, t in TEXTS]
+def brute_repeats(rows_):
+    texts = [(d, (t or "").encode()) for d, t in rows_]
     c = Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
     want = Counter()
     for d, b in texts:
@@ -224,10 +282,37 @@ def test_repeated_bytes(results):
                 gone[i : i + 200] = b"\1" * 200
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[(d, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest())] += 1
-    assert by_text(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+def test_repeated_bytes(results):
+    got = results("op6_suffix_dedup")
+    assert by_text(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(TEXTS)
     assert got.n_removed.sum() > 2000
 
 
+def test_repeated_bytes_of_many_rows_without_id(spark, tmp_path):
+    own = np.random.default_rng(21)
+    say = lambda n: " ".join(own.choice(VOCABULARY, n))
+    passage, twin = say(80), say(90)
+    docs = [(None, say(5) + str(k)) for k in range(5000)] + [(None, say(60) + passage), (None, passage + say(70))] + [(7, twin)] * 3 + [(None, twin + "é" * 300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).toPandas()
+    assert by_text(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs)
+    assert len(got) == len(docs) and (got[got.doc_id == 7].n_removed == len(twin)).all()
+
+
+def test_repeated_bytes_over_a_segment_seam(monkeypatch):
+    from basalt.llm import exact_substrings
+
+    text = prose(2000).encode()
+    whole = exact_substrings.fragments([text, text[:300]])
+    monkeypatch.setattr(exact_substrings, "SEGMENT", 1 << 10)
+    cut = exact_substrings.fragments([text, text[:300]])
+    spans = lambda f: {(t, w) for t, a, n in zip(*(x.tolist() for x in f[:3])) for w in range(a, a + n)}
+    assert spans(whole) == spans(cut) == {(t, w) for t, n in ((0, len(text)), (1, 300)) for w in range(n - 199)}
+
+
 def test_suffix_array():
     from basalt.llm.suffix_array import common_prefixes, suffix_array
 
@@ -280,6 +365,18 @@ def test_packing(results):
     assert got.sequence_id.nunique() == -(-got.length.sum() // CAPACITY)
 
 
+def test_words_keep_their_ids(spark):
+    from basalt.llm.packing import WordIds, split_words, tokenizer_path
+
+    table = WordIds(tokenizer_path())
+    own, parts = np.random.default_rng(6), ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "aB", "É", "İ", "Σ", "ß", "\u0301", "中", " ", "\u3000", "\u200b", "\n", "<|", "가", "\x85"]
+    for _ in range(3000):
+        text = "".join(own.choice(parts, own.integers(1, 12)))
+        words_ = split_words(text.encode())
+        known = table.learn(set(words_))
+        assert np.frombuffer(b"".join(known[w] for w in words_), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_plan_is_near_the_bound():
     from basalt.llm.packing import plan
 

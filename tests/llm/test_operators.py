@@ -299,7 +299,7 @@ def test_repeated_bytes_of_many_rows_without_id(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).toPandas()
     assert by_text(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs)
-    assert len(got) == len(docs) and (got[got.doc_id == 7].n_removed == len(twin)).all()
+    assert len(got) == len(docs) and (got[got.doc_id == 7].n_removed == len(twin.encode())).all()
 
 
 def test_repeated_bytes_over_a_segment_seam(monkeypatch):

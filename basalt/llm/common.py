@@ -62,6 +62,30 @@ def stage(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_PROCESS: dict = {}
+_WANTED: set = set()
+
+
+def process_cache(key, make: Callable):
+    """What a reused worker keeps from task to task under key; it holds one key at a time.
+
+    Call it from an Arrow map's ``function``: a worker drops what the map it runs next does not ask for.
+    """
+    _WANTED.add(key)
+    if key not in _PROCESS:
+        _PROCESS.clear()
+        _PROCESS[key] = make()
+    return _PROCESS[key]
+
+
+def _started(function: Callable, *args):
+    _WANTED.clear()
+    step = function(*args)
+    for key in _PROCESS.keys() - _WANTED:
+        del _PROCESS[key]
+    return step
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The batch's texts as bytes; null as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
@@ -76,7 +100,7 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType, *ar
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = function(*args)
+        step = _started(function, *args)
         for batch in batches:
             yield _batch(step(batch), arrow)
 
@@ -88,7 +112,7 @@ def map_stream(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in function(batches):
+        for part in _started(function, batches):
             yield _batch(part, arrow)
 
     return df.mapInArrow(run, schema)

@@ -37,6 +37,7 @@ ORDERS = 4
 HUBS = 2  # rounds in which the best linked nodes are pivots
 BLOCK = 512  # nodes of a block; two blocks of a bucket meet in a cell
 CACHE = 300_000
+UNITS = 100_000  # shingles whose darts are thrown at once (a longer text is alone)
 GOLD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
@@ -133,8 +134,13 @@ def _banded(docs: DataFrame) -> DataFrame:
             found = [elements(b, hashes) for b in as_bytes(batch.column(2))]
             keys: list = [[] for _ in found]
             some = [i for i, (e, _) in enumerate(found) if len(e)]
-            for at in range(0, len(some), 256):
-                part = some[at : at + 256]
+            at = 0
+            while at < len(some):
+                part, units = [], 0
+                while at < len(some) and (not part or units + int(found[some[at]][1].sum()) <= UNITS):
+                    part.append(some[at])
+                    units += int(found[some[at]][1].sum())
+                    at += 1
                 for i, k in zip(part, bands(signatures([found[i] for i in part]))):
                     keys[i] = k
             return {"doc_id": batch.column(0), "tid": batch.column(1), "bands": keys}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from basalt.llm.common import as_bytes, documents, map_batches, share, stage
+from basalt.llm.common import as_bytes, documents, map_batches, process_cache, share, stage
 
 CAPACITY = 2048
 GROUPS = 64
@@ -76,16 +76,6 @@ class WordIds:
         return self.now
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The process's tables for a tokenizer: a reused worker keeps them from task to task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
-
-
 def split_words(b: bytes) -> list[bytes]:
     """Words, ASCII ones in lower case (the tokenizer's own normal form), unless a special token's mark makes case matter.
 
@@ -104,7 +94,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def start():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = word_ids(path)
+        ids = process_cache(("word ids", path), lambda: WordIds(path))
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = [split_words(b) for b in as_bytes(batch.column(1))]

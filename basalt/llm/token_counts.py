@@ -3,13 +3,15 @@
 The vocabulary is a public byte-level rank file; piece r of V has probability proportional to 1 / (r + OFFSET).  A
 pre-token is a word with a space before it; its count is that of the best-scoring segmentation, ties to the fewest
 pieces.  Pre-tokens are inserted in a trie whose nodes hold the forward score of their prefix, so a shared prefix is
-computed once.  Null and empty texts have no tokens; equal texts get equal counts.
+computed once.  Null and empty texts have no tokens; equal texts get equal counts; repeated
+rows are counted each; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from basalt.llm.common import as_bytes, documents, map_batches
 OFFSET = 10
 NODES = 1_500_000  # trie nodes a task keeps before it starts anew: bounded memory, same results
 TERMINALS = 400_000
+LONG_WORD = 10_000  # bytes; longer words are scored forward without nodes, with the same results
 
 
 def vocabulary_path() -> str:
@@ -70,6 +73,22 @@ class Trie:
         return count[node], score[node]
 
 
+def forward(text: bytes, pieces: dict[bytes, float], longest: int) -> tuple[int, float]:
+    """(pieces, score) of the best segmentation, with the last ``longest`` scores in memory only."""
+    score, count = deque([0.0], longest), deque([0], longest)
+    for depth in range(1, len(text) + 1):
+        best, fewest, first = -math.inf, 0, depth - len(score)
+        for start in range(first, depth):
+            p = pieces.get(text[start:depth])
+            if p is not None:
+                s, c = score[start - first] + p, count[start - first] + 1
+                if s > best or s == best and c < fewest:
+                    best, fewest = s, c
+        score.append(best)
+        count.append(fewest)
+    return count[-1], score[-1]
+
+
 class Terminals(dict):
     """Pre-token -> (count, score), filled from the trie; both are emptied when they reach their bounds."""
 
@@ -78,6 +97,8 @@ class Terminals(dict):
         self.trie = Trie(pieces)
 
     def __missing__(self, word: bytes) -> tuple[int, float]:
+        if len(word) > LONG_WORD:
+            return forward(b" " + word, self.trie.pieces, self.trie.longest)
         if len(self.trie.score) > NODES:
             self.trie.clear()
         if len(self) > TERMINALS:

@@ -20,7 +20,8 @@ from basalt.llm.common import documents, stage
 
 SHINGLE = 5
 FRACTION_BITS = 3  # hashes below 2^-3 of the space are retained
-BUCKET_ROWS = 2_048  # rows of a window partition, where ids are even
+BUCKET_ROWS = 2_048  # rows of a window partition, where ids are even between two cuts
+CUTS = 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -62,13 +63,23 @@ def as_text(text: Column, hashes: Column) -> Column:
 def with_next(docs: DataFrame, payload: dict[str, Column], schema_order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """docs(doc_id, text) plus the payload columns and ``next``, a struct of text and payload of the row after it.
 
-    Ids are dealt to buckets by value, so the order is found bucket by bucket; the first row of each bucket, found
-    from the ids alone, is sent to the bucket before it.  The text is exchanged once.
+    Ids are dealt to buckets by value, evenly between approximate quantiles, so outlying ids crowd no bucket; the order
+    is found bucket by bucket, and the first row of each bucket, found from the ids alone, is sent to the bucket before
+    it.  The text is exchanged once.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1.0, float(high - low + 1) / max(1, -(-n // BUCKET_ROWS)))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / width), F.lit(-1))
+    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [k / CUTS for k in range(CUTS + 1)], 10 * CUTS)).first()
+    cuts = sorted(set(cuts or [0]))
+    parts = max(1, -(-n // (CUTS * BUCKET_ROWS)))  # buckets between two cuts
+    edges = F.array(*(F.lit(c).cast("long") for c in cuts))
+
+    def place(at: Column) -> Column:
+        low, high = F.get(edges, at), F.coalesce(F.get(edges, at + 1), F.get(edges, at) + 1)
+        inside = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * parts)
+        return at.cast("long") * parts + F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1))
+
+    at = F.greatest(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))) - 1, F.lit(0))
+    bucket = F.coalesce(F.element_at(F.transform(F.array(at), place), 1), F.lit(-1).cast("long"))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(bucket)
     firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id"))
     over = Window.orderBy("bucket")  # one row for some thousands of documents
     whole = Window.partitionBy()

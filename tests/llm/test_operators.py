@@ -253,6 +253,20 @@ def test_fingerprints(results):
     assert got[got.doc_id == 3].near_next.iloc[0] == 1.0 and got.near_edited.between(0, 1).all()
 
 
+def test_next_text_with_outlying_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from basalt.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "CUTS", 4)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
+    ids = [*range(40), 10**12, -5, -(2**62), 2**62, None, None, 7]
+    rows_ = [(i, f"text {k % 9} of {i}") for k, i in enumerate(ids)]
+    got = fingerprints.with_next(spark.createDataFrame(rows_, "doc_id long, text string"), {"size": F.length("text")}).select("doc_id", "text", "next.text")
+    order = sorted(rows_, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert Counter(tuple(r) for r in got.collect()) == Counter((*order[k], order[(k + 1) % len(order)][1]) for k in range(len(order)))
+
+
 def test_scaled_hash_matches_reference(spark):
     import xxhash
     from pyspark.sql import functions as F
@@ -408,6 +422,29 @@ def test_token_counts(results):
     assert by_text(got, "doc_id", "n_pretokens", "n_tokens") == want
 
 
+def test_long_words_are_scored_alike():
+    from basalt.llm.token_counts import Terminals, Trie, forward, load_scores, vocabulary_path
+
+    pieces = load_scores(vocabulary_path())
+    trie = Trie(pieces)
+    for w in (b" a", (" " + prose(40)).encode(), b" " + b"ab" * 300, " ñ中é".encode()):
+        count, score = forward(w, pieces, trie.longest)
+        assert (count, pytest.approx(score)) == trie.insert(w)
+    table = Terminals(pieces)
+    assert table[b"x" * 20_000][0] > 0 and len(table.trie.score) == 1
+
+
+def test_repeated_windows_are_compared_word_by_word():
+    from basalt.llm import rules
+
+    text = prose(200).encode().split()
+    text += text[20:60] + prose(30).encode().split()
+    runs = Counter(tuple(text[i : i + 8]) for i in range(len(text) - 7))
+    want = len({j for i in range(len(text) - 7) if runs[tuple(text[i : i + 8])] > 1 for j in range(i, i + 8)})
+    assert rules.repeat_words(text) == want >= 80
+    assert rules.repeat_words([b"a", b"b"] * 3) == 0 and rules.repeat_words([b"a"] * 9) == 9
+
+
 def test_no_side_output_of_models_differs_between_runs(spark, tables, results):
     again = queries.QUERIES["op7_cube_mixing"](spark, tables["full"]).toPandas()
     assert by_text(again, "doc_id", "size", "taken") == by_text(results("op7_cube_mixing"), "doc_id", "size", "taken")

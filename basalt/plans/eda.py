@@ -2,15 +2,70 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import DAY_US, WEEK_US, Dialect, tele
+from basalt.plans.dialect import DAY_US, WEEK_US, Dialect, same_week, tele, week_before
 
 SENSORS = ("tons", "pressure", "rpm", "advance", "vibration", "temp")
 PAIRS = [(a, b) for i, a in enumerate(SENSORS) for b in SENSORS[i + 1 :]]
 
 
+def each(d: Dialect, rows: list[dict[str, str]], relation: str = "tele") -> str:
+    """One row of aggregates for each of rows; Spark computes all of them in one scan and stacks them."""
+    if not d.spark:
+        return " union all ".join("select " + ", ".join(f"{x} as {name}" for name, x in row.items()) + f" from {relation}" for row in rows)
+    inner = ", ".join(f"{x} as x{i}_{j}" for i, row in enumerate(rows) for j, x in enumerate(row.values()))
+    cells = ", ".join(f"x{i}_{j}" for i, row in enumerate(rows) for j in range(len(row)))
+    return f"select stack({len(rows)}, {cells}) as ({', '.join(rows[0])}) from (select {inner} from {relation}) as aggregates"
+
+
 def profile(d: Dialect) -> str:
     columns = ("grade", "mineral", "front", "failure_code", "equipment")
-    return " union all ".join(f"select '{c}' as column_name, count(*) - count({c}) as n_null, round(100.0e0 * (count(*) - count({c})) / count(*), 4) as pct_null, count(distinct {c}) as n_distinct from tele" for c in columns)
+    missing = lambda c: f"count(*) - count({c})"
+    return each(d, [{"column_name": f"'{c}'", "n_null": missing(c), "pct_null": f"round(100.0e0 * ({missing(c)}) / count(*), 4)", "n_distinct": f"count(distinct {c})"} for c in columns])
+
+
+def describe(d: Dialect) -> str:
+    def row(c: str) -> dict[str, str]:
+        quantiles = {name: f"round({d.pct(c, q)}, 6)" for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+        return {
+            "column_name": f"'{c}'", "n": f"count({c})", "mean": f"round(avg({c}), 6)", "std": f"round(stddev_samp({c}), 6)",
+            "low": f"round(min({c}), 6)", **quantiles, "high": f"round(max({c}), 6)",
+        }
+
+    return each(d, [row(c) for c in (*SENSORS, "grade")])
+
+
+def spearman(d: Dialect) -> str:
+    """Correlations of average ranks.
+
+    Spark ranks distinct values by their running counts, so the ordered window sees one row a value, and joins the
+    ranks back; the oracle ranks the rows themselves.
+    """
+    rho = each(d, [{"a": f"'{a}'", "b": f"'{b}'", "rho": f"round(corr({a}, {b}), 6)"} for a, b in PAIRS], "ranked")
+    if not d.spark:
+        return f"with {tele(d)}, ranked as ({ranks(SENSORS, 'tele')}) {rho}"
+    tables = ", ".join(
+        f"of_{c} as (select v, sum(n) over (order by v rows between unbounded preceding and current row) - n + (n + 1) / 2.0e0 as r"
+        f" from (select {c} as v, count(*) as n from tele group by {c}) as counted)"
+        for c in SENSORS
+    )
+    joins = " ".join(f"join of_{c} on tele.{c} = of_{c}.v" for c in SENSORS)
+    return f"with {tele(d)}, {tables}, ranked as (select {', '.join(f'of_{c}.r as {c}' for c in SENSORS)} from tele {joins}) {rho}"
+
+
+def mean_vs_median(d: Dialect) -> str:
+    """Every reading against the mean and the median of its front's week before, of five readings at least."""
+    near = f"""probe as (select event_id, front, us, grade from tele where grade is not null), {week_before(d)},
+      near as (select p.event_id, p.grade, avg(t.grade) as m, {d.pct('t.grade', 0.5)} as med, count(*) as n
+        from probe p join week_before t on t.front = p.front and {same_week(d, 'p', 't')} and t.us >= p.us - {WEEK_US} and t.us < p.us and t.grade is not null
+        group by p.event_id, p.grade)"""
+    errors = ", ".join(
+        f"round({x}, 6) as {name}"
+        for name, x in (
+            ("rmse_mean", "sqrt(avg((grade - m) * (grade - m)))"), ("rmse_median", "sqrt(avg((grade - med) * (grade - med)))"),
+            ("mae_mean", "avg(abs(grade - m))"), ("mae_median", "avg(abs(grade - med))"),
+        )
+    )
+    return f"with {tele(d)}, {near} select count(*) as n, {errors} from near where n >= 5"
 
 
 def bands(column: str, cuts: tuple) -> str:
@@ -34,9 +89,9 @@ THRESHOLDS = {"temp_88": "temp > 88", "temp_95": "temp > 95", "vibration_12": "v
 QUERIES = {
     "eda_profile": lambda d: f"with {tele(d)} {profile(d)}",
     "eda_duplicates": lambda d: f"with {tele(d)} select count(*) - (select count(*) from (select distinct * from tele) as x) as full_rows, count(*) - count(distinct us) as timestamps, count(distinct front) as fronts, count(distinct mineral) as minerals from tele",
-    "eda_pearson": lambda d: f"with {tele(d)} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from tele" for a, b in PAIRS),
-    "eda_spearman": lambda d: f"with {tele(d)}, ranked as ({ranks(SENSORS, 'tele')}) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as rho from ranked" for a, b in PAIRS),
-    "eda_describe": lambda d: f"with {tele(d)} " + " union all ".join(f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 6) as low, round({d.pct(c, 0.25)}, 6) as q1, round({d.pct(c, 0.5)}, 6) as median, round({d.pct(c, 0.75)}, 6) as q3, round(max({c}), 6) as high from tele" for c in (*SENSORS, "grade")),
+    "eda_pearson": lambda d: f"with {tele(d)} " + each(d, [{"a": f"'{a}'", "b": f"'{b}'", "r": f"round(corr({a}, {b}), 6)"} for a, b in PAIRS]),
+    "eda_spearman": spearman,
+    "eda_describe": lambda d: f"with {tele(d)} " + describe(d),
     "eda_frequency": lambda d: f"with {tele(d)}, n as (select mineral, count(*) as n from tele group by mineral) select mineral, n, round(100.0e0 * n / sum(n) over (), 4) as pct from n",
     "eda_simultaneity": lambda d: f"with {tele(d)}, m as (select date_trunc('minute', ts) as minute, count(*) as n, count(distinct front) as f from tele group by 1) select max(n) as most_events, max(f) as most_fronts, count(*) as minutes from m",
     "eda_monthly_volume": lambda d: f"with {tele(d)} select cast(date_trunc('month', ts_local) as date) as month, count(*) as n from tele group by 1",
@@ -44,7 +99,7 @@ QUERIES = {
     "eda_expected_band": lambda d: f"with {tele(d)}, p as (select count(failure_code) / cast(count(*) as double) as p from tele) select front, count(*) as n, round(100 * p.p - 196 * sqrt(p.p * (1 - p.p) / count(*)), 6) as low, round(100 * p.p + 196 * sqrt(p.p * (1 - p.p) / count(*)), 6) as high from tele cross join p group by front, p.p",
     "eda_two_proportions": lambda d: f"with {tele(d)}, c as (select cast(count(case when maint = 1 then 1 end) as double) as n1, cast(count(case when maint = 1 then failure_code end) as double) as x1, cast(count(case when maint = 0 then 1 end) as double) as n2, cast(count(case when maint = 0 then failure_code end) as double) as x2 from tele) select round(x1 / n1, 6) as p1, round(x2 / n2, 6) as p2, round((x1 / n1 - x2 / n2) / sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) as z, round(x1 / n1 - x2 / n2 - 1.96e0 * sqrt(x1 / n1 * (1 - x1 / n1) / n1 + x2 / n2 * (1 - x2 / n2) / n2), 6) as low, round(x1 / n1 - x2 / n2 + 1.96e0 * sqrt(x1 / n1 * (1 - x1 / n1) / n1 + x2 / n2 * (1 - x2 / n2) / n2), 6) as high from c",
     "eda_dispersion": lambda d: f"with {tele(d)} select front, round(avg(grade), 6) as mean, round(stddev_samp(grade), 6) as std, round(stddev_samp(grade) / avg(grade), 6) as cv, round({moment_skew('grade')}, 4) as skew from tele group by front",
-    "eda_mean_vs_median": lambda d: f"with {tele(d)}, probe as (select event_id, front, us, grade from tele where grade is not null and event_id % 10 = 0), near as (select p.event_id, p.grade, avg(t.grade) as m, {d.pct('t.grade', 0.5)} as med, count(*) as n from probe p join tele t on t.front = p.front and t.us >= p.us - {WEEK_US} and t.us < p.us and t.grade is not null group by p.event_id, p.grade) select count(*) as n, round(sqrt(avg((grade - m) * (grade - m))), 6) as rmse_mean, round(sqrt(avg((grade - med) * (grade - med))), 6) as rmse_median, round(avg(abs(grade - m)), 6) as mae_mean, round(avg(abs(grade - med)), 6) as mae_median from near where n >= 5",
+    "eda_mean_vs_median": mean_vs_median,
     "eda_thresholds": lambda d: f"with {tele(d)} " + " union all ".join(f"select '{n}' as threshold, count(case when {c} then 1 end) as n, round(100.0e0 * count(case when {c} then 1 end) / count(*), 6) as pct, round(count(case when {c} then failure_code end) / nullif(cast(count(case when {c} then 1 end) as double), 0), 6) as failure_rate, round(count(case when {c} then failure_code end) / nullif(cast(count(failure_code) as double), 0), 6) as captured from tele" for n, c in THRESHOLDS.items()),
     "eda_failure_delta": lambda d: f"with {tele(d)} " + " union all ".join(f"select '{c}' as sensor, round(avg(case when failure_code is not null then {c} end), 6) as failing, round(avg(case when failure_code is null then {c} end), 6) as normal from tele" for c in SENSORS),
     "eda_failure_codes": lambda d: f"with {tele(d)} select {d.regex('failure_code', '^[^-]+-([^-]+)-')} as subsystem, failure_code, count(*) as n from tele where failure_code is not null group by 1, 2",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, silver, tele
+from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, same_week, silver, tele, week_before
 
 SIX_HOURS_US = 21_600_000_000
 
@@ -72,8 +72,32 @@ def curve(d: Dialect) -> str:
       curve as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from steps window w as (order by score desc rows between unbounded preceding and current row))"""
 
 
+PARTS = """parts as (select b.g, greatest(coalesce(rc.n, 0) / cast(rt.t as double), 1e-6) as pr, greatest(coalesce(ec.n, 0) / cast(et.t as double), 1e-6) as pa
+        from bins b join rt on b.g = rt.g join et on b.g = et.g left join rc on b.g = rc.g and b.bin = rc.bin left join ec on b.g = ec.g and b.bin = ec.bin),
+      psi as (select g, round(sum((pa - pr) * ln(pa / pr)), 6) as psi, count(*) as n_bins from parts group by g)"""
+
+
 def psi(d: Dialect, column: str, by: str | None, reference: str, evaluation: str) -> str:
-    """PSI of column between two conditions over ``windowed``; bins from the reference's unique inner deciles."""
+    """PSI of column between two conditions over ``windowed``; bins from the reference's unique inner deciles.
+
+    A group's cuts are one array, against which a row finds its bin in place: one aggregate a side, no row numbers.
+    """
+    if not d.spark:
+        return _psi_by_rows(d, column, by, reference, evaluation)
+    g = by or "'all'"
+    deciles = ", ".join(f"{k / 10}e0" for k in range(1, 10))
+    side = lambda where: f"(select {g} as g, round({column}, 9) as x from windowed where {where} and {column} is not null)"
+    counted = lambda rows: f"(select r.g, size(filter(c.cs, v -> v <= r.x)) as bin, count(*) as n from {rows} r join cuts c on r.g = c.g group by 1, 2)"
+    return f"""ref as {side(reference)}, eva as {side(evaluation)},
+      cuts as (select g, array_distinct(transform(percentile(x, array({deciles})), v -> round(v, 9))) as cs from ref group by g),
+      bins as (select g, explode(sequence(0, size(cs))) as bin from cuts),
+      rc as {counted('ref')}, ec as {counted('eva')},
+      rt as (select g, count(*) as t from ref group by g), et as (select g, count(*) as t from eva group by g),
+      {PARTS}"""
+
+
+def _psi_by_rows(d: Dialect, column: str, by: str | None, reference: str, evaluation: str) -> str:
+    """The oracle's PSI: every row meets every cut."""
     g = by or "'all'"
     qs = " union all ".join(f"select g, {d.pct('x', round(0.1 * k, 1))} as c from ref group by g" for k in range(1, 10))
     return f"""ref as (select {g} as g, round({column}, 9) as x from windowed where {reference} and {column} is not null), eva as (select {g} as g, round({column}, 9) as x from windowed where {evaluation} and {column} is not null),
@@ -83,28 +107,44 @@ def psi(d: Dialect, column: str, by: str | None, reference: str, evaluation: str
       eva_n as (select r.g, cast(sum(case when c.c <= r.x then 1 else 0 end) as int) as bin, r.x from (select g, x, row_number() over (partition by g order by x) as id from eva) r join cuts c on r.g = c.g group by r.g, r.id, r.x),
       rc as (select g, bin, count(*) as n from ref_n group by g, bin), ec as (select g, bin, count(*) as n from eva_n group by g, bin),
       rt as (select g, count(*) as t from ref group by g), et as (select g, count(*) as t from eva group by g),
-      parts as (select b.g, greatest(coalesce(rc.n, 0) / cast(rt.t as double), 1e-6) as pr, greatest(coalesce(ec.n, 0) / cast(et.t as double), 1e-6) as pa
-        from bins b join rt on b.g = rt.g join et on b.g = et.g left join rc on b.g = rc.g and b.bin = rc.bin left join ec on b.g = ec.g and b.bin = ec.bin),
-      psi as (select g, round(sum((pa - pr) * ln(pa / pr)), 6) as psi, count(*) as n_bins from parts group by g)"""
+      {PARTS}"""
 
 
 VERDICT = "case when psi > 0.2 then 'critical' when psi > 0.1 then 'moderate' else 'stable' end"
 
 
 def windowed(d: Dialect, grade: str = "grade", vibration: str = "vibration") -> str:
-    """Evaluation: the last 7 local days; reference: the 20 days before."""
+    """Evaluation: the last 7 local days; reference: the 30 days before."""
     return tele(d) + f""", ends as (select max({d.us('ts_local')}) as last_us from tele),
-      windowed as (select front, sector, {grade} as grade, {vibration} as vibration, temp, {d.us('ts_local')} > last_us - {WEEK_US} as is_eval, {d.us('ts_local')} <= last_us - {WEEK_US} and {d.us('ts_local')} > last_us - {27 * DAY_US} as is_ref from tele cross join ends)"""
+      windowed as (select front, sector, {grade} as grade, {vibration} as vibration, temp, {d.us('ts_local')} > last_us - {WEEK_US} as is_eval, {d.us('ts_local')} <= last_us - {WEEK_US} and {d.us('ts_local')} > last_us - {37 * DAY_US} as is_ref from tele cross join ends)"""
 
 
 def target_stats(d: Dialect) -> str:
     return tele(d) + ", stats as (select mineral, sum(grade) as s, count(grade) as n from tele group by mineral), prior as (select avg(grade) as p from tele)"
 
 
+def drift_report(d: Dialect) -> str:
+    """Verdict and bins of each sector; shares are printed as decimals, which both dialects write alike."""
+    share = lambda x: f"cast(cast(round({x}, 6) as decimal(10, 6)) as {'string' if d.spark else 'varchar'})"
+    one = f"concat('[', {share('pr')}, ',', {share('pa')}, ']')"
+    bins = f"array_join(array_sort(collect_list({one})), ',')" if d.spark else f"array_to_string(list_sort(list({one})), ',')"
+    detail = f"detail as (select g, concat('[', {bins}, ']') as bins from parts group by g)"
+    return f"with {windowed(d)}, {psi(d, 'grade', 'sector', 'is_ref', 'is_eval')}, {detail} select p.g as scope, psi, {VERDICT} as verdict, bins from psi p join detail b on p.g = b.g"
+
+
+def impute_window_median(d: Dialect) -> str:
+    """A missing grade becomes the median of its front and mineral's week before, if that has five readings."""
+    return f"""with {tele(d)}, {week_before(d)}, gaps as (select event_id, front, mineral, us from tele where grade is null),
+      near as (select g.event_id, {d.pct('t.grade', 0.5)} as med, count(t.grade) as n
+        from gaps g join week_before t on t.front = g.front and t.mineral = g.mineral and {same_week(d, 'g', 't')} and t.us >= g.us - {WEEK_US} and t.us < g.us and t.grade is not null
+        group by g.event_id)
+      select g.event_id, case when n.n >= 5 then round(n.med, 6) end as grade, coalesce(n.n, 0) < 5 as flag_imputed from gaps g left join near n on g.event_id = n.event_id"""
+
+
 QUERIES = {
     "event_features": lambda d: f"with {prefix_week(d)} select t.event_id, case when w.c > 0 then w.s / 10000.0e0 / w.c end as grade_week_mean, w.c as grade_week_count, round(last_value(t.grade {'' if d.spark else 'ignore nulls'}) {'ignore nulls' if d.spark else ''} over (partition by t.front order by t.us rows between unbounded preceding and 1 preceding), 6) as grade_lag1, round((t.us - lag(t.us) over (partition by t.front order by t.us)) / {DAY_US}e0, 9) as days_since from tele t join week w on t.event_id = w.event_id",
     "event_flags_ratios": lambda d: f"with {tele(d)} select event_id, coalesce(temp > 88, false) as thermal_risk, coalesce(temp > 95, false) as overheat, coalesce(vibration > 12, false) as shaking, round(case when advance > 0 then pressure * rpm / advance end, 6) as specific_energy, round(case when rpm > 0 then (temp - 38) / rpm end, 9) as overtemp from tele",
-    "impute_window_median": lambda d: f"with {tele(d)}, gaps as (select event_id, front, mineral, us from tele where grade is null), near as (select g.event_id, {d.pct('t.grade', 0.5)} as med, count(t.grade) as n from gaps g join tele t on t.front = g.front and t.mineral = g.mineral and t.us >= g.us - {WEEK_US} and t.us < g.us and t.grade is not null group by g.event_id) select g.event_id, case when n.n >= 5 then round(n.med, 6) end as grade, coalesce(n.n, 0) < 5 as flag_imputed from gaps g left join near n on g.event_id = n.event_id",
+    "impute_window_median": impute_window_median,
     "measured_target": lambda d: f"with {tele(d)} select event_id, grade as measured, grade is null as was_imputed from tele",
     "ordinal_encode": lambda d: f"with {tele(d)} select event_id, case mineral {' '.join(f'when {chr(39)}{m}{chr(39)} then {i}' for i, m in enumerate(MINERALS))} end as mineral_code, case shift {' '.join(f'when {chr(39)}{m}{chr(39)} then {i}' for i, m in enumerate(SHIFTS))} end as shift_code from tele",
     "target_encode_stats": lambda d: f"with {target_stats(d)} select mineral, round(s, 4) as s, n, round(p, 9) as prior from stats cross join prior",
@@ -149,6 +189,6 @@ QUERIES = {
     "retrain_decision": lambda d: " ".join(["with", windowed(d), ",", psi(d, "grade", None, "is_ref", "is_eval"), "select psi > 0.2 or 0.31e0 > 0.26e0 * 1.15 as retrain, concat_ws(';', case when psi > 0.2 then 'psi' end, case when 0.31e0 > 0.26e0 * 1.15 then 'error' end) as reasons from psi"]),
     "promotion_decision": lambda d: f"with {split(d)}, e as (select avg(abs(target - grade)) as production, avg(abs(target - coalesce(grade_mean10, grade))) as staging from test) select round(production, 6) as production, round(staging, 6) as staging, case when staging < production then 'promote' else 'rollback' end as outcome from e",
     "matrix_fingerprint": lambda d: f"with {split(d)} select {'substring(sha2(s, 256), 1, 12)' if d.spark else 'substring(sha256(s), 1, 12)'} as fingerprint from (select concat(cast(count(*) as string), '|', cast(min(start_us) as string), '|', cast(max(start_us) as string), '|', cast(sum(n_events) as string)) as s from usable) as x",
-    "drift_report": lambda d: " ".join(["with", windowed(d), ",", psi(d, "grade", "sector", "is_ref", "is_eval"), f", detail as (select g, {'to_json(array_sort(collect_list(array(round(pr, 6), round(pa, 6)))))' if d.spark else 'cast(to_json(list_sort(list([round(pr, 6), round(pa, 6)]))) as varchar)'} as bins from parts group by g) select p.g as scope, psi, {VERDICT} as verdict, bins from psi p join detail b on p.g = b.g"]),
+    "drift_report": drift_report,
     "quarantine_rate_by_sector": lambda d: f"with {silver(d)} select sector, count(*) as n, cast(sum(case when r_physical_limit or r_unknown_mineral or r_null_key then 1 else 0 end) as bigint) as rejected from judged where not r_duplicate group by sector",
 }

@@ -19,6 +19,8 @@ from basalt.streaming.ingest import read_csv, stream_to_table
 EVENTS = StructType([StructField(n, t) for n, t in (("event_id", LongType()), ("us", LongType()), ("front", StringType()), ("sector", StringType()), ("local_date", DateType()), ("shift", StringType()), ("year_month", StringType()), ("mineral", StringType()), ("grade", DoubleType()), ("tons", DoubleType()), ("failure_code", StringType()))])
 COLUMNS = ", ".join(EVENTS.fieldNames())
 
+MAX_CHUNK, OVERLAP = 900, 150
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in ("events", "documents", "pages", "benchmark"):
@@ -81,7 +83,7 @@ def _after_changes(d: Dialect) -> str:
 def csv_rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as CSV with some malformed lines, read back under the declared schema."""
     path = scratch(spark, "csv")
-    rows = events(spark, sf_dir).where("event_id < 2000")
+    rows = events(spark, sf_dir)
     good = F.concat_ws(",", "event_id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss"), "front", F.col("tons").cast("string"))
     rows.select(F.when(F.col("event_id") % 100 == 0, F.concat(good, F.lit(",extra"))).otherwise(good).alias("event_id,ts,front,tons")).write.option("header", True).option("quote", "").csv(path)
     schema = StructType.fromDDL("event_id long, ts timestamp, front string, tons double")
@@ -110,6 +112,15 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(fixed_chunks(F.coalesce("text", F.lit("")), F.lit(800), F.lit(120))).alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("n"), F.length("chunk").cast("long").alias("n_chars"))
 
 
+def chunk_by_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines under a context prefix; a line over MAX_CHUNK characters is split recursively, none is dropped."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    parts = docs.where(F.trim("line") != "").select("*", F.posexplode(F.when(F.length("line") <= MAX_CHUNK, F.array("line")).otherwise(fixed_chunks(F.col("line"), F.lit(MAX_CHUNK), F.lit(OVERLAP)))).alias("part", "chunk"))
+    chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("#line#"), F.lpad((F.col("n") + 1).cast("string"), 3, "0"))
+    body = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit(" · "), F.coalesce("lang", F.lit("")), F.lit("] "), "chunk")
+    return parts.select(chunk_id.alias("chunk_id"), F.col("part").cast("long").alias("part"), body.alias("body"))
+
+
 def fact_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and codes of each benchmark item against the document of the same id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.col("text").alias("answer"))
@@ -173,12 +184,12 @@ def accent_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length(strip_accents(F.col("text"))).cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (time_travel_diff, change_feed_cells, table_history, gold_incremental, csv_rescue_scan, stream_file_ingest, page_elements, chunk_fixed, fact_verification, gbt_grade, gbt_failure, promotion_log, accent_folding)}
+QUERIES = {f.__name__: f for f in (time_travel_diff, change_feed_cells, table_history, gold_incremental, csv_rescue_scan, stream_file_ingest, page_elements, chunk_fixed, chunk_by_genre, fact_verification, gbt_grade, gbt_failure, promotion_log, accent_folding)}
 ORACLES = {
     "time_travel_diff": f"with {tele(DUCK)} select event_id, mineral as before, 'MIX' as after from tele where event_id % 37 = 0 and mineral <> 'MIX'",
     "promotion_log": "select 'grade' as model, cast(n as bigint) as n, outcome, staging_error, production_error from (select 0 as n, 'promote' as outcome, 0.40e0 as staging_error, cast(null as double) as production_error union all select 1, 'promote', 0.35e0, 0.40e0 union all select 2, 'rollback', 0.37e0, 0.35e0) as x",
     "change_feed_cells": f"with {tele(DUCK)} select t as change_type, front, local_date, shift, count(*) as n from tele cross join (select 'update_preimage' as t union all select 'update_postimage') as x where event_id % 37 = 0 and mineral <> 'MIX' group by 1, 2, 3, 4",
     "gold_incremental": f"{_after_changes(DUCK)} select front, local_date, shift, count(*) as n_events, round(sum(tons), 6) as tons, round(sum(grade * tons) / sum(case when grade is not null then tons end), 6) as weighted_grade, count(failure_code) as n_failures, cast(sum(case when mineral = 'MIX' then 1 else 0 end) as bigint) as n_mix from now group by front, local_date, shift",
-    "csv_rescue_scan": f"with {tele(DUCK)} select event_id % 100 = 0 as rescued, count(*) as n, round(sum(tons), 3) as tons from tele where event_id < 2000 group by 1",
+    "csv_rescue_scan": f"with {tele(DUCK)} select event_id % 100 = 0 as rescued, count(*) as n, round(sum(tons), 3) as tons from tele group by 1",
     "stream_file_ingest": f"with {tele(DUCK)} select front, 'L0' as batch_id, count(*) as n, round(sum(tons), 3) as tons from tele group by front",
 }

@@ -11,7 +11,6 @@ from basalt.plans.dialect import Dialect
 CANDIDATES, TOP = 18, 6
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 MIN_TERM, CONTAINED = 4, 0.6
-MAX_CHUNK = 900
 
 
 def lines(d: Dialect) -> str:
@@ -68,7 +67,6 @@ def contained(d: Dialect) -> str:
 QUERIES = {
     "document_header": lambda d: "select doc_id, source, lang, case when n_chars >= 5000 then 'manual' when n_chars >= 1500 then 'report' else 'procedure' end as genre, lower(text) like '%all rights reserved%' as confidential from documents",
     "paragraph_elements": lambda d: f"with {lines(d)} select chunk_id, case when line like '%|%' then 'table' when length(line) < 40 then 'heading' else 'prose' end as kind, cast(length(line) as bigint) as n_chars from chunks",
-    "chunk_by_genre": lambda d: f"with {lines(d)} select chunk_id, concat('[', source, ' · ', lang, '] ', line) as body from chunks where length(line) <= {MAX_CHUNK}",
     "chunk_by_section": lambda d: f"with {lines(d)}, s as (select *, sum(case when length(line) < 40 then 1 else 0 end) over (partition by doc_id order by n rows between unbounded preceding and current row) as section from chunks) select doc_id, cast(section as bigint) as section, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from s group by doc_id, section",
     "table_merge": lambda d: f"with {lines(d)}, t as (select *, case when line like '%|%' then 1 else 0 end as is_table from chunks), g as (select *, sum(case when is_table = 1 and was = 0 then 1 else 0 end) over (partition by doc_id order by n rows between unbounded preceding and current row) as island from (select *, coalesce(lag(is_table) over (partition by doc_id order by n), 0) as was from t) as x) select doc_id, cast(island as bigint) as island, count(*) as n_rows from g where is_table = 1 group by doc_id, island",
     "dense_topk": lambda d: f"with {dense(d)} select item_id, vec_id, cosine, place from dense_top where place <= {TOP}",

@@ -106,12 +106,62 @@ def test_attention_is_a_distribution():
     total = 0.0
     for last in range(40):
         x, y, _ = windows([np.append(text, last)], 40)
-        total += np.exp(model.log_probs(x, y)[y != 40][-1])
+        total += np.exp(model.log_probs(x, y)[0][y != 40][-1])
     assert 0.5 < total <= 1.0001  # what is missing is the padding of the last class
     x, y, n = windows([text, text[:2]], 40)
     assert (y != 40).sum() == 30 and n.tolist() == [-(-29 // STRIDE), 1]
 
 
+def test_word_scores_of_pieces():
+    from basalt.llm import lm_scoring as lm
+    from basalt.llm.attention import Attention, windows
+
+    codes = lm.Codes(lm.vocabulary_path())
+    model, tables = Attention(codes.pad, 3), lm.Tables({b"than": 5}, codes)
+    ws = prose(200).lower().encode().split() + [lm.END_WORD]
+    whole, count = lm.word_scores(lm.pieces_of(ws, codes), tables, model)
+    assert len(whole) == 201 and (count == 5).sum() == ws.count(b"than") and (count >= 0).sum() == ws.count(b"than")
+    ids = [codes.end] + [i for w in ws for i in codes(w)]
+    x, y, _ = windows([np.array(ids)], codes.pad)
+    q, begun = model.log_probs(x, y, None, codes.starts)
+    # the boundaries cancel but for the first: a text always begins a word
+    assert whole.sum() == pytest.approx(q[y != codes.pad].sum() - begun[0, 0], rel=1e-5)
+    parts = lm.pieces_of(ws, codes, 60)
+    assert [len(p[1]) - p[2] for p in parts] == [60, 60, 60, 21] and [w for p in parts for w in p[1][: len(p[1]) - p[2]]] == ws
+    cut, _ = lm.word_scores(parts, tables, model)
+    own = np.delete(cut, [60, 121, 182])  # the words only looked at
+    assert len(own) == 201 and np.abs(own - whole).max() < 1.0 and own[:59] == pytest.approx(whole[:59], abs=1e-3)
+
+
+def test_lm_words_are_a_distribution():
+    """Over all words of one or two ids, what the model gives a next word stays below one."""
+    from basalt.llm import lm_scoring as lm
+    from basalt.llm.attention import Attention
+
+    codes = lm.Codes(lm.vocabulary_path())
+    model, tables = Attention(codes.pad, 3), lm.Tables({}, codes)
+    candidates = {bytes([a]) for a in range(33, 127)} | {bytes([a, b]) for a in range(97, 123) for b in range(97, 123)}
+    total = sum(np.exp(lm.word_scores([([codes.end], [b"than", w, lm.END_WORD], False)], tables, model)[0][1]) for w in sorted(candidates))
+    assert 0 < total < 1
+
+
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    """With the fit of production.  Smaller tables have many unseen words, which the base gives one type's share each."""
+    from pyspark.sql import functions as F
+
+    from basalt.llm import lm_scoring
+
+    before = lm_scoring.fit_attention.__defaults__
+    lm_scoring.fit_attention.__defaults__ = (2_000,)
+    try:
+        got = lm_scoring.op1_attention_lm(spark, "/root/testdata/sf0.1").groupBy("held_out").agg(*[(F.sum(n) / F.sum("n_tokens")).alias(n) for n in ("score", "base_score")]).collect()
+    finally:
+        lm_scoring.fit_attention.__defaults__ = before
+    assert len(got) == 2
+    for r in got:
+        assert r["score"] > r["base_score"] + 0.03, r
+
+
 def shingles(t):
     w = words(t)
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

@@ -15,6 +15,7 @@ SPAN = STRIDE + CONTEXT
 GROUP = 32  # ids of a class
 CHUNK = 256  # windows attended at once: their weights stay in cache
 FAR = np.float32(-1e9)
+HIGH, LOW = np.float32(60), np.float32(1e-30)  # learning takes logits up to HIGH: cheaper than the maximum of short rows
 
 
 class Room:
@@ -40,14 +41,6 @@ class Attention:
         scale = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
         self.p = {"q": scale(rows, WIDTH), "k": scale(rows, WIDTH), "v": scale(rows, WIDTH), "e": scale(rows, WIDTH), "near": np.zeros(SPAN, np.float32), "c": scale(WIDTH, self.groups), "c0": np.zeros(self.groups, np.float32), "m": scale(self.groups, GROUP, WIDTH), "m0": np.zeros((self.groups, GROUP), np.float32)}
 
-    def start_from(self, counts: np.ndarray) -> None:
-        """Output biases from how often each id follows."""
-        full = np.zeros(self.groups * GROUP)
-        full[: len(counts)] = counts
-        by_group = full.reshape(self.groups, GROUP)
-        self.p["c0"] = np.log(by_group.sum(1) + 1e-2).astype(np.float32)
-        self.p["m0"] = np.log(by_group + 1e-2).astype(np.float32)
-
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
 
@@ -72,9 +65,8 @@ class Attention:
         s += self._bias()
         if (x[:, :CONTEXT] == self.ids).any():
             s += np.where(x == self.ids, FAR, np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        np.exp(np.minimum(s, HIGH, out=s), out=s)
+        s /= (s @ np.ones(SPAN, np.float32) + LOW)[:, :, None]
         h = np.matmul(s, v)
         h += p["e"][own]
         np.tanh(h, out=h)
@@ -158,8 +150,9 @@ class Attention:
         group, member, n = t // GROUP, t % GROUP, np.arange(len(t))
 
         def softmax(z):
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            return z / z.sum(axis=1, keepdims=True)
+            np.exp(np.minimum(z, HIGH, out=z), out=z)
+            z /= (z @ np.ones(z.shape[1], np.float32) + LOW)[:, None]
+            return z
 
         zc = softmax(h @ p["c"] + p["c0"])
         order = np.argsort(group, kind="stable")
@@ -201,10 +194,10 @@ class Attention:
         total, losses = max(steps, -(-len(x) // batch)), []
         order = np.zeros(0, np.int64)
         for t in range(1, total + 1):
-            if len(order) < min(batch, len(x)):
+            if not len(order):  # a pass ends with a smaller batch
                 order = rng.permutation(len(x))
             pick, order = order[:batch], order[batch:]
-            loss, g = self.gradient(x[pick], y[pick])
+            loss, g = self.gradient(x[pick].astype(np.int32), y[pick].astype(np.int32))
             losses.append(loss)
             lr = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
             for k, v in self.p.items():

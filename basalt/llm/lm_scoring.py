@@ -9,9 +9,9 @@ tokens, whatever its count; both are distributions over the next word, so the sc
 
 The base score is add-0.1 smoothed word counts over the whole training part of the corpus.  Counts of frequent words,
 of which there are at most MOST_FREQUENT whatever the corpus, go to the tasks; other words meet their counts in a
-join, for the base score and for the mixture alike.  The attention weights start from a fit on a bounded sample of
-training windows; then every SHARE-th window of the whole training part is learned from in blocks, one pass each, and
-the blocks' weights are averaged.
+join, for the base score and for the mixture alike.  The attention weights are learned from every id of the whole
+training part: texts are dealt to as many rounds as there are RATES, in a round every task learns on from the same
+weights with all of its texts' windows, and the tasks' weights are averaged by their windows.
 
 Null and empty texts consist of the end alone; equal texts have equal scores; repeated rows are scored each; an
 empty table gives an empty result.  Texts are scored in pieces of PIECE words that see the ids before them.  Columns
@@ -24,7 +24,6 @@ import base64
 import math
 import struct
 import uuid
-import zlib
 from collections import Counter
 from operator import itemgetter
 
@@ -33,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.attention import CONTEXT, GROUP, SPAN, STRIDE, Attention, windows
-from basalt.llm.common import as_bytes, bounded_sample, documents, fold, map_batches, map_stream, process_cache, share, stage
+from basalt.llm.attention import CONTEXT, GROUP, Attention, windows
+from basalt.llm.common import as_bytes, documents, fold, map_batches, map_stream, process_cache, share, stage
 
 RANKS = 1_024  # subword ids
 END_WORD = b"\n"  # no word has white space
 SMOOTH = 0.1
 MOST_FREQUENT = 1 << 20  # words with at least N / MOST_FREQUENT occurrences: no more than so many
-SAMPLE_DOCS, WINDOWS_A_DOC, STEPS, RATE = 12_000, 4, 2_000, 0.01  # bounds on the attention weights' first fit
-SHARE, SLOT = 64, 10  # of the windows that begin at every SLOT-th word, one in SHARE is learned from
-BLOCK, BLOCK_RATE = 16_384, 0.002  # windows of a block
+RATES = (0.03, 0.02, 0.01, 0.003)  # of the rounds; a text is learned from in one of them
+STEPS, BATCH = 2_000, 256  # where a task has few windows, it passes over them until it has made its share of STEPS
+BLOCK = 1 << 17  # windows learned from at once
+TASK_WORDS = 3_000_000  # smaller tasks are joined: each has to learn enough for an average
+SLICES = 64  # of the weights, summed apart
 MIX = 0.5  # the corpus counts' part
 PIECE = 60_000  # words scored at once
 CACHE, LONGEST_KEPT = 500_000, 200
@@ -135,15 +136,21 @@ def pieces_of(words: list[bytes], codes: Codes, size: int = PIECE) -> list[tuple
     return out
 
 
-def word_scores(pieces: list, tables: Tables, model: Attention, ready: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of every word of the pieces: the model's natural log probability of it as the next word, its count or -1."""
-    codes = tables.codes
+def piece_windows(pieces: list, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets of the pieces' windows; the words' records, their first ids' places, and ends of pieces."""
     ids, words = tables.lookup([w for _, ws, _ in pieces for w in ws])
     last = np.cumsum([len(ws) for _, ws, _ in pieces])
     first = np.concatenate([[0], np.cumsum(words["ids"].astype(np.int64))])
     cut = first[np.concatenate([[0], last])].tolist()
     sequences = [np.concatenate([before[-1:], ids[a:b]]) for (before, _, _), a, b in zip(pieces, cut, cut[1:])]
-    x, y, _ = windows(sequences, codes.pad, [before[:-1] for before, _, _ in pieces])
+    x, y, _ = windows(sequences, tables.codes.pad, [before[:-1] for before, _, _ in pieces])
+    return x, y, words, first, last
+
+
+def word_scores(pieces: list, tables: Tables, model: Attention, ready: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word of the pieces: the model's natural log probability of it as the next word, its count or -1."""
+    codes = tables.codes
+    x, y, words, first, last = piece_windows(pieces, tables)
     q, begun = model.log_probs(x, y, ready, codes.starts)
     real = y != codes.pad
     logs, begun = np.add.reduceat(q[real].astype(np.float64), first[:-1]), begun[real][first[:-1]].astype(np.float64)
@@ -153,93 +160,77 @@ def word_scores(pieces: list, tables: Tables, model: Attention, ready: dict | No
     return logs + ends, words["count"]
 
 
-def training_line(words: list[bytes], at: int, codes: Codes) -> list[int]:
-    """The window whose first scored id begins word ``at``: CONTEXT + 1 ids before, STRIDE ids after, padded."""
-    before, after, k = [], [], at
-    while k and len(before) <= CONTEXT:
-        k -= 1
-        before = codes(words[k]) + before
-    before = [codes.end] * (k == 0) + before
-    k = at
-    while len(after) < STRIDE and k <= len(words):
-        after += codes(words[k]) if k < len(words) else [codes.end]
-        k += 1
-    line = ([codes.pad] * SPAN + before)[-CONTEXT - 1 :] + after
-    return (line + [codes.pad] * SPAN)[: SPAN + 1]
-
-
-def training_windows(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Windows at hashed places of a bounded sample of documents."""
-
-    def start():
-        codes = Codes(path)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            x, y, owner = [], [], []
-            for doc_id, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                words = b.lower().split()
-                for k in range(min(WINDOWS_A_DOC, 1 + len(words) // STRIDE)):
-                    at = zlib.crc32(f"{doc_id}:{k}".encode()) % (len(words) + 1) if k else 0
-                    line = training_line(words, at, codes)
-                    x.append(line[:-1])
-                    y.append(line[CONTEXT + 1 :])
-                    owner.append(doc_id)
-            return {"doc_id": owner, "x": x, "y": y}
-
-        return step
-
-    sample = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), SAMPLE_DOCS, 5)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")
-    found = map_batches(rows, start, "doc_id long, x array<int>, y array<int>").orderBy("doc_id", "x").toArrow()
-    if not found.num_rows:
-        return np.zeros((0, SPAN), np.int32), np.zeros((0, STRIDE), np.int32)
-    flat = lambda n: np.concatenate([c.flatten().to_numpy() for c in found[n].chunks])
-    return flat("x").reshape(-1, SPAN), flat("y").reshape(-1, STRIDE)
+def training_windows(batches, tables: Tables):
+    """(inputs, targets) of all texts of a task: every id is the target of one window."""
+    part, size = [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        x, y, *_ = piece_windows(part, tables)
+        return x.astype("<u2"), y.astype("<u2")
+
+    for batch in batches:
+        for b in as_bytes(batch.column(0)):
+            for before, ws, more in pieces_of(b.lower().split() + [END_WORD], tables.codes):
+                part.append((before, ws[: len(ws) - more], False))
+                size += len(ws)
+                if size >= PIECE:
+                    yield out()
+                    part, size = [], 0
+    if part:
+        yield out()
+
+
+def blocks_of(found, size: int):
+    """The windows in blocks of ``size``; the last one is smaller."""
+    kept, number = [], 0
+    for pair in found:
+        kept.append(pair)
+        number += len(pair[0])
+        while number >= size:
+            x, y = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+            yield x[:size], y[:size]
+            kept, number = [(x[size:], y[size:])], number - size
+    if number:
+        yield tuple(np.concatenate([k[i] for k in kept]) for i in (0, 1))
 
 
-def fit_attention(x: np.ndarray, y: np.ndarray, pad: int, steps: int = STEPS) -> Attention:
+def fit_attention(docs: DataFrame, words: int, path: str, steps: int = STEPS) -> Attention:
+    """The model learned from all windows of docs, which have ``words`` words: rounds of tasks, averaged."""
+    spark, pad = docs.sparkSession, Codes(path).pad
     model = Attention(pad)
-    if len(x):
-        model.start_from(np.bincount(y[y != pad], minlength=pad) + 0.1)
-        model.train(x, y, steps, RATE)
+    docs = docs.select("doc_id", "text").coalesce(max(1, -(-words // TASK_WORDS)))
+
+    def total(part: pa.Table) -> pa.Table:
+        rows = sorted(zip(part.column("n").to_pylist(), part.column("flat").to_pylist()))
+        flat = sum(n * np.frombuffer(b, np.float32).astype(np.float64) for n, b in rows)
+        return pa.table({"slice": part.column("slice")[:1], "n": pa.array([sum(n for n, _ in rows)], pa.int64()), "flat": pa.array([flat.tobytes()], pa.binary())})
+
+    for k, rate in enumerate(RATES):
+        shared, least = share(spark, model.flat()), -(-steps // len(RATES))
+
+        def learn(batches, shared=shared, rate=rate):
+            tables = process_cache(("subword ids", path), lambda: Tables({}, Codes(path)))
+
+            def run():
+                own, n = Attention(pad), 0
+                own.load(shared.value)
+                for x, y in blocks_of(training_windows(batches, tables), BLOCK):
+                    own.train(x, y, 1 if n else least, rate, BATCH)
+                    n += len(x)
+                if n:
+                    parts = [p.tobytes() for p in np.array_split(own.flat(), SLICES)]
+                    yield {"slice": list(range(SLICES)), "n": [n] * SLICES, "flat": parts}
+
+            return run()
+
+        texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == k).select("text")
+        learned = stage(map_stream(texts, learn, "slice int, n long, flat binary"))
+        slices = learned.groupBy("slice").applyInArrow(total, "slice int, n long, flat binary").orderBy("slice").collect()
+        if slices:
+            model.load(np.concatenate([np.frombuffer(r.flat) for r in slices]) / slices[0].n)
     return model
 
 
-def fit_share(docs: DataFrame, model: Attention, path: str) -> None:
-    """Let the model learn on from every SHARE-th window of docs: a pass a block from the same start, weights averaged."""
-    shared, pad = share(docs.sparkSession, model.flat()), model.ids
-
-    def start():
-        codes = Codes(path)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            lines = []
-            for doc_id, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                words = b.lower().split()
-                for k in range(zlib.crc32(str(doc_id).encode()) % SHARE, 1 + len(words) // SLOT, SHARE):
-                    lines.append(np.array(training_line(words, k * SLOT, codes), "<u2").tobytes())
-            return {"line": lines}
-
-        return step
-
-    def fit(part: pa.Table) -> pa.Table:
-        lines = np.frombuffer(b"".join(sorted(part.column("line").to_pylist())), "<u2").astype(np.int32).reshape(-1, SPAN + 1)
-        block = Attention(pad)
-        block.load(shared.value)
-        block.train(lines[:, :-1], lines[:, CONTEXT + 1 :], 1, BLOCK_RATE)
-        flat = block.flat().astype(np.float64)
-        return pa.table({"index": pa.array(np.arange(len(flat)), pa.int32()), "total": flat * len(lines)})
-
-    lines = stage(map_batches(docs.select("doc_id", "text"), start, "line binary"))
-    number = lines.count()
-    if number:
-        dealt = lines.withColumn("block", F.monotonically_increasing_id() % F.lit(-(-number // BLOCK)))
-        fitted = dealt.groupBy("block").applyInArrow(fit, "index int, total double").groupBy("index").agg(F.sum("total").alias("total")).toArrow()
-        flat = np.zeros(fitted.num_rows)
-        flat[fitted.column("index").to_numpy()] = fitted.column("total").to_numpy() / number
-        model.load(flat)
-
-
 def lm_scores(docs: DataFrame, divisor: int = 10, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row a row."""
     spark, path = docs.sparkSession, path or vocabulary_path()
@@ -249,8 +240,7 @@ def lm_scores(docs: DataFrame, divisor: int = 10, path: str | None = None) -> Da
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
     frequent = {bytes(r[0]): r[1] for r in counts.where(F.col("c") >= max(1.0, total / MOST_FREQUENT)).collect()} if total else {}
-    model = fit_attention(*training_windows(training, path), Codes(path).pad)
-    fit_share(training, model, path)
+    model = fit_attention(training, total, path)
     shared = share(spark, (frequent, model.flat()))
     floor, own = total + SMOOTH * (distinct + 1), uuid.uuid4().hex
 

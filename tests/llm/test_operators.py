@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basalt.llm import queries
@@ -162,6 +163,36 @@ def test_lm_beats_word_counts_on_held_out_texts(spark):
         assert r["score"] > r["base_score"] + 0.03, r
 
 
+def test_lm_learns_from_every_window(spark, monkeypatch):
+    from basalt.llm import lm_scoring as lm
+    from basalt.llm.attention import Attention
+
+    codes = lm.Codes(lm.vocabulary_path())
+    monkeypatch.setattr(lm, "PIECE", 50)
+    texts = [prose(n) for n in (0, 1, 49, 50, 51, 700)]
+    batch = pa.RecordBatch.from_pydict({"text": [t.encode().upper().decode() for t in texts]})
+    pairs = list(lm.training_windows([batch], lm.Tables({}, codes)))
+    want = Counter(i for t in texts for w in [*t.encode().split(), lm.END_WORD] for i in codes(w.lower()))
+    y = np.concatenate([y for _, y in pairs])
+    assert Counter(y[y != codes.pad].tolist()) == want
+    blocks = list(lm.blocks_of(pairs, 7))
+    assert [len(x) for x, _ in blocks[:-1]] == [7] * (len(blocks) - 1) and np.array_equal(np.concatenate([y for _, y in blocks]), y)
+    model, seen = Attention(codes.pad), []
+    monkeypatch.setattr(model, "gradient", lambda x, y: (seen.extend(y[:, 0].tolist()), (0.0, model.p))[1])
+    model.train(np.zeros((1000, 32), int), np.arange(1000)[:, None], 1, 0.0, 64)
+    assert sorted(seen) == list(range(1000))
+    # a sign that occurs once, deep in one of some long texts, has been learned from
+    monkeypatch.undo()
+    plain, signs = [prose(1500) for _ in range(12)], [b"~", b"^", b"`", b"{", b"}", b"@", b"\\", b"_"]
+    docs = [(k, f"{t} {signs[k].decode()} {t}" if k < len(signs) else t) for k, t in enumerate(plain)]
+    often = {i for t in plain for w in t.encode().split() for i in codes(w)}
+    rare = {i for w in signs for i in codes(w)} - often
+    assert len(rare) >= 6
+    fitted = lm.fit_attention(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 40_000, lm.vocabulary_path(), 1)
+    start = Attention(codes.pad)
+    assert all((fitted.p["v"][i] != start.p["v"][i]).any() for i in rare)
+
+
 def shingles(t):
     w = words(t)
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

@@ -14,19 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_bytes, bounded_sample, map_batches, share, stage
+from basalt.llm.common import as_bytes, map_batches, share, stage
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 WINDOW = 8
 MIN_WORDS = 20
 TREES, SUBSAMPLE, DEPTH = 64, 256, 10
-FIT_ROWS = 16_384  # forest: bound on the sampled rows
-CALIBRATION_ROWS = 20_000  # threshold: bound on the labelled rows
 CLEAN_COST = 10.0  # bad rows that must be caught for each good row given up
 SINGLE_TREES = 24
 DEFAULT_THRESHOLD = 0.8
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "shout_share", "distinct_share")
+FIT_ROWS = (TREES + SINGLE_TREES * len(FEATURES)) * SUBSAMPLE  # every tree's own rows
+BINS = 256  # of scores: a forest's labelled scores are sorted apart
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{x} double" for x in FEATURES)
 
 
@@ -87,13 +87,17 @@ def average_path(n: float) -> float:
 
 
 class IsolationForest:
-    """Random axis-parallel splits on subsamples; short mean paths mark anomalies (scores near 1)."""
+    """Random axis-parallel splits on subsamples; short mean paths mark anomalies (scores near 1).
+
+    Trees grow from rows of their own if there are enough, else from draws out of all rows.
+    """
 
     def __init__(self, x: np.ndarray, seed: int = 7, trees: int = TREES):
         rng = np.random.default_rng(seed)
         size = min(SUBSAMPLE, len(x))
         self.norm = max(average_path(size), 1e-9)
-        self.trees = [self._grow(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)]
+        own = len(x) >= size * trees
+        self.trees = [self._grow(x[t * size : (t + 1) * size] if own else x[rng.choice(len(x), size, replace=False)], rng) for t in range(trees)]
 
     @staticmethod
     def _grow(x: np.ndarray, rng) -> tuple:
@@ -131,21 +135,47 @@ class IsolationForest:
         return np.power(2.0, -total / (len(self.trees) * self.norm))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
-    """The threshold with the best balance of bad rows caught against CLEAN_COST times the good rows given up.
+def _bin_cut(part: pa.Table) -> pa.Table:
+    """Of a forest's scores in one bin, from the highest: the gain of all, the best gain of a cut, and where it lies."""
+    score = part.column("score").to_numpy()
+    order = np.argsort(-score)
+    s, good, bad = score[order], part.column("good").to_numpy()[order], part.column("bad").to_numpy()[order]
+    gain = np.cumsum(bad - CLEAN_COST * good)
+    k = int(np.argmax(gain))
+    row = {"forest": part.column("forest")[0].as_py(), "top": s[0], "good": good.sum(), "bad": bad.sum(), "gain": gain[-1], "best": gain[k], "at": s[k], "below": s[k + 1] if k + 1 < len(s) else None}
+    return pa.Table.from_pylist([row], pa.schema([("forest", pa.int32()), ("top", pa.float64()), ("good", pa.int64()), ("bad", pa.int64()), *((n, pa.float64()) for n in ("gain", "best", "at", "below"))]))
+
 
-    At a tie the highest; infinite if no threshold is worth its losses.
+def calibrate(scored: DataFrame) -> dict[int, float]:
+    """scored(forest, score, good, bad: rows) -> each forest's threshold.
+
+    It has the best balance of bad rows caught against CLEAN_COST times the good rows given up, over all rows.  At a tie
+    the highest; infinite if no threshold is worth its losses; none unless there are good and bad rows.
     """
-    if not len(scores):
-        return math.inf
-    order = np.argsort(-scores, kind="stable")
-    s, gain = scores[order], np.cumsum(np.where(good[order], -CLEAN_COST, 1.0))
-    ends = np.append(s[1:] < s[:-1], True)  # a cut lies between different scores only
-    gain = np.where(ends, gain, -math.inf)
-    k = int(np.argmax(gain))
-    if gain[k] <= 0:
-        return math.inf
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) - 1e-9
+    scores = scored.groupBy("forest", "score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    found = scores.groupBy("forest", F.floor(F.col("score") * BINS)).applyInArrow(_bin_cut, "forest int, top double, good long, bad long, gain double, best double, at double, below double").collect()
+    out = {}
+    for forest in {r.forest for r in found}:
+        rows = sorted((r for r in found if r.forest == forest), key=lambda r: -r.top)
+        if not sum(r.good for r in rows) or not sum(r.bad for r in rows):
+            continue
+        gain, best, out[forest] = 0.0, 0.0, math.inf
+        for r, after in zip(rows, [*rows[1:], None]):
+            if gain + r.best > best:
+                best, below = gain + r.best, r.below if r.below is not None else after and after.top
+                out[forest] = (r.at + below) / 2 if below is not None else r.at - 1e-9
+            gain += r.gain
+    return out
+
+
+def fit_rows(usable: DataFrame, seed: int) -> np.ndarray:
+    """The statistics of FIT_ROWS rows, those with the least seeded hash, or of all."""
+    rows = usable.select(*FEATURES, F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), *FEATURES).alias("hash"))
+    number = usable.count()
+    if number > 2 * FIT_ROWS:  # far rows stay where they are
+        near = rows.where(F.col("hash") < -(2**63) + int(2**64 * 1.2 * FIT_ROWS / number))
+        rows = near if near.count() >= FIT_ROWS else rows
+    return rows.orderBy("hash", *FEATURES).limit(FIT_ROWS).select(*FEATURES).toPandas().to_numpy(float)
 
 
 class RuleForests:
@@ -156,34 +186,56 @@ class RuleForests:
 
     def __init__(self, x: np.ndarray, seed: int):
         self.columns = [list(range(x.shape[1])), *([i] for i in range(x.shape[1]))]
-        self.forests = [IsolationForest(x[:, c], seed + k, TREES if k == 0 else SINGLE_TREES) for k, c in enumerate(self.columns)]
+        trees = [TREES] + [SINGLE_TREES] * x.shape[1]
+        ends = np.cumsum(trees) * SUBSAMPLE
+        rows = [x[e - t * SUBSAMPLE : e] if len(x) >= ends[-1] else x for e, t in zip(ends, trees)]
+        self.forests = [IsolationForest(r[:, c], seed + k, t) for k, (r, c, t) in enumerate(zip(rows, self.columns, trees))]
         self.thresholds = [DEFAULT_THRESHOLD] * len(self.forests)
 
-    def calibrate(self, x: np.ndarray, good: np.ndarray) -> None:
-        if not good.any() or good.all():
-            return
-        self.thresholds = [calibrate(f.score(x[:, c]), good) for f, c in zip(self.forests, self.columns)]
+    def scores(self, x: np.ndarray) -> list[np.ndarray]:
+        return [np.round(f.score(x[:, c]), 12) for f, c in zip(self.forests, self.columns)]
 
     def excess(self, x: np.ndarray) -> np.ndarray:
         """How far the most anomalous forest's score is above its threshold; at most 0 for documents to keep."""
-        return np.max([np.maximum(f.score(x[:, c]) - t, -1.0) for f, c, t in zip(self.forests, self.columns, self.thresholds)], axis=0)
+        return np.max([np.maximum(s - t, -1.0) for s, t in zip(self.scores(x), self.thresholds)], axis=0)
+
+
+def labelled_scores(known: DataFrame, forests) -> DataFrame:
+    """known(*FEATURES, quality) -> forest, score, good, bad: rows of a score in a batch."""
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))], axis=1)
+            good = batch.column(len(FEATURES)).to_numpy(zero_copy_only=False) == 1
+            out: dict = {"forest": [], "score": [], "good": [], "bad": []}
+            for k, scores in enumerate(forests.value.scores(x)):
+                score, of = np.unique(scores, return_inverse=True)
+                out["forest"].append(np.full(len(score), k))
+                out["score"].append(score)
+                out["good"].append(np.bincount(of, good, len(score)).astype(np.int64))
+                out["bad"].append(np.bincount(of, ~good, len(score)).astype(np.int64))
+            return {k: np.concatenate(v) for k, v in out.items()}
+
+        return step
+
+    return map_batches(known, start, "forest int, score double, good long, bad long")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality) -> statistics, base_failed, anomaly, kept, one row a document.
 
-    Two bounded samples reach the driver (FIT_ROWS statistics rows, CALIBRATION_ROWS labelled ones); statistics and
-    scores cover every document.
+    Every tree grows from SUBSAMPLE documents of its own, as the method has it: FIT_ROWS rows of statistics reach the
+    driver.  Every labelled document counts for the thresholds; statistics and scores cover every document.
     """
     spark = docs.sparkSession
     stats = stage(rule_stats(docs))
     usable = stats.where(~base_failed())
-    sample = bounded_sample(usable.select("doc_id", *FEATURES), FIT_ROWS, seed).toPandas()
-    forests = RuleForests(sample[list(FEATURES)].to_numpy(float), seed) if len(sample) else None
+    sample = fit_rows(usable, seed)
+    forests = RuleForests(sample, seed) if len(sample) else None
     if forests:
         chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        known = usable.join(F.broadcast(bounded_sample(chosen, CALIBRATION_ROWS, seed)), "doc_id").select(*FEATURES, "quality").toPandas()
-        forests.calibrate(known[list(FEATURES)].to_numpy(float), known["quality"].to_numpy() == 1)
+        for k, threshold in calibrate(labelled_scores(usable.join(chosen, "doc_id").select(*FEATURES, "quality"), share(spark, forests))).items():
+            forests.thresholds[k] = threshold
     model = share(spark, forests)
     names = [x.split()[0] for x in STATS.split(", ")]
 

@@ -247,6 +247,48 @@ def test_rules(results):
     assert not (got.kept & got.base_failed).any() and got[got.doc_id.between(100, 160)].kept.mean() > 0.9
 
 
+def test_rule_thresholds_count_every_labelled_row(spark):
+    from basalt.llm import rules
+
+    own = np.random.default_rng(11)
+    # more rows than once were looked at; whatever 20 000 of them say, the best cut is of all
+    score = np.round(np.concatenate([own.beta(2, 5, 40_000), own.beta(6, 3, 3_000)]), 4)
+    good = np.arange(len(score)) < 40_000
+    rows = [(1, float(s), int(g), int(not g)) for s, g in zip(score, good)] + [(0, 0.5, 1, 0), (0, 0.25, 1, 0), (2, 0.5, 1, 0), (2, 0.4, 0, 1), (3, 0.75, 0, 1), (3, 0.25, 1, 0)]
+    got = rules.calibrate(spark.createDataFrame(rows, "forest int, score double, good long, bad long").repartition(5))
+    cuts = np.unique(score)
+    gain = np.array([(~good & (score >= c)).sum() - rules.CLEAN_COST * (good & (score >= c)).sum() for c in cuts])
+    k = max(np.flatnonzero(gain == gain.max()))
+    assert gain[k] > 0 and got == {1: pytest.approx((cuts[k] + cuts[k - 1]) / 2), 2: np.inf, 3: 0.5}
+
+
+def test_rules_use_all_labels_and_trees_of_their_own_rows(spark, monkeypatch):
+    from basalt.llm import rules
+
+    texts = [(i, prose(40) + (" ***" * (2 + i % 3) if i % 50 == 0 else "")) for i in range(22_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 50 != 0)) for i, _ in texts], "doc_id long, quality int")
+    counted, calibrate = [], rules.calibrate
+    monkeypatch.setattr(rules, "calibrate", lambda scored: (counted.append(scored.groupBy("forest").sum("good", "bad").collect()), calibrate(scored))[1])
+    got = rules.quality_rules(docs, labels).select("doc_id", "kept").toPandas()
+    assert len(got) == 22_000 and (got.kept == (got.doc_id % 50 != 0)).mean() > 0.99
+    assert sorted(tuple(r) for r in counted[0]) == [(k, 21_560, 440) for k in range(1 + len(rules.FEATURES))]
+    grown = []
+    monkeypatch.setattr(rules.IsolationForest, "_grow", staticmethod(lambda x, rng: grown.append(x[:, 0].copy())))
+    rules.RuleForests(np.repeat(np.arange(rules.FIT_ROWS, dtype=float)[:, None], len(rules.FEATURES), axis=1), 7)
+    assert np.array_equal(np.sort(np.concatenate(grown)), np.arange(rules.FIT_ROWS))
+
+
+def test_fit_rows_are_the_least_hashes(spark, monkeypatch):
+    from basalt.llm import rules
+
+    monkeypatch.setattr(rules, "FIT_ROWS", 300)
+    stats = stage(rules.rule_stats(spark.createDataFrame([(i, prose(30) + " x" * (i % 97)) for i in range(3_000)], "doc_id long, text string")))
+    far = rules.fit_rows(stats, 7)
+    monkeypatch.setattr(rules, "FIT_ROWS", 1_600)
+    assert far.shape == (300, len(rules.FEATURES)) and np.array_equal(rules.fit_rows(stats, 7)[:300], far)
+
+
 def test_toxicity(results):
     got = results("op4_toxicity_nnpu").dropna()
     assert len(results("op4_toxicity_nnpu")) == len(TEXTS) and got.score.between(0, 1).all()

@@ -6,9 +6,10 @@ the total weight, the earliest in each of ``K`` coordinates is kept.  Two texts
 probability of their weighted Jaccard similarity.  Equal texts are one node.  Bands of the signature send nodes to
 buckets; in a bucket every node is paired with the bucket's pivot (the order that elects pivots differs between
 bands), then, where a bucket still has nodes of different components, with the node that has most links so far, and at
-last every two nodes of it that are in different components are paired.  Pairs are verified on the exact shingles, and
-classes are the connected components of the verified links: every two nodes of a bucket are compared or already of
-one class.
+last every two nodes of it that are in different components and may be similar, which their rarest units tell, are
+paired.  Pairs are verified on the exact shingles, and
+classes are the connected components of the verified links: every two similar nodes of a bucket are compared or already
+of one class.
 
 Null texts are empty; all empty texts are one class; equal rows are of one class, of which one row is kept; an
 empty table gives an empty result; null ids are allowed and come last in electing the kept row.  Columns other than
@@ -71,14 +72,18 @@ def elements(b: bytes, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(rolled, return_counts=True)
 
 
+def _units(e: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One id a unit of weight: the c-th unit of an element is the same in all texts."""
+    nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    return mix64(np.repeat(e, w) + nth.astype(np.uint64) * GOLD)
+
+
 def signatures(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """One row of K dart ids a text; every text must have an element."""
     weight = np.array([w.sum() for _, w in texts], float)
     sizes = np.array([w.sum() for _, w in texts])
-    key = np.concatenate([np.repeat(e, w) for e, w in texts])
     # the c-th unit of an element's weight is a region of its own
-    nth = np.concatenate([np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) for _, w in texts]).astype(np.uint64)
-    key, doc = mix64(key + nth * GOLD), np.repeat(np.arange(len(texts)), sizes)
+    key, doc = np.concatenate([_units(e, w) for e, w in texts]), np.repeat(np.arange(len(texts)), sizes)
     out, todo, limit = np.zeros((len(texts), K), np.uint64), np.arange(len(texts)), DARTS / weight
     while len(todo):
         best, dart = np.full(len(texts) * K, np.inf), np.zeros(len(texts) * K, np.uint64)
@@ -192,9 +197,10 @@ def _open(rest: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("u").alias("tid")).union(links.select(F.col("v").alias("tid")))
     known = roots.withColumnRenamed("node", "tid").join(ends.groupBy("tid").agg(F.count("*").alias("degree")), "tid", "left")
     rooted = rest.join(known, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    best = F.max(F.struct("degree", F.xxhash64("tid"), "tid", "root"))
-    buckets = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), best.alias("best")).where("low <> high")
-    return rooted.join(buckets, "key").select("key", "tid", "root", "n", F.col("best.tid").alias("hub"), F.col("best.root").alias("hub_root"))
+    best, bucket = F.max(F.struct("degree", F.xxhash64("tid"), "tid", "root")), Window.partitionBy("key")
+    known = {"low": F.min("root"), "high": F.max("root"), "n": F.count("*"), "best": best}
+    buckets = rooted.select("key", "tid", "root", *(c.over(bucket).alias(n) for n, c in known.items())).where("low <> high")
+    return buckets.select("key", "tid", "root", "n", F.col("best.tid").alias("hub"), F.col("best.root").alias("hub_root"))
 
 
 def _hub_pairs(rest: DataFrame) -> DataFrame:
@@ -202,25 +208,52 @@ def _hub_pairs(rest: DataFrame) -> DataFrame:
     return rest.where("tid <> hub and root <> hub_root").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _candidates(found: list[tuple[np.ndarray, np.ndarray]], left: list[int], right: list[int]) -> np.ndarray:
+    """Which of left (rows) may be SIMILAR to which of right (columns); no pair that is SIMILAR is missed.
+
+    Texts of W and V units that are SIMILAR share at least SIMILAR * W and SIMILAR * V of them, so with units in one
+    order, here the rarest first, they share one of the first W - ceil(SIMILAR * W) + 1 and as many of V.
+    """
+    units = [_units(e, w) for e, w in found]
+    _, unit, times = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(times, kind="stable")] = np.arange(len(times))
+    ends = np.cumsum([len(u) for u in units]).tolist()
+    first = []
+    for a, b in zip([0, *ends], ends):
+        p = b - a - math.ceil(SIMILAR * (b - a) - 1e-9) + 1
+        first.append(np.sort(place[unit[a:b]])[:p])
+
+    def posted(side: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        of, at = np.concatenate([first[i] for i in side]), np.repeat(np.arange(len(side)), [len(first[i]) for i in side])
+        order = np.argsort(of, kind="stable")
+        return of[order], at[order]
+
+    out = np.zeros((len(left), len(right)), bool)
+    if not left or not right:
+        return out
+    (a, i), (b, j) = posted(left), posted(right)
+    both = np.intersect1d(a, b)
+    for p, q, r, t in zip(*(np.searchsorted(x, both, side).tolist() for x in (a, b) for side in ("left", "right"))):
+        out[i[p:q, None], j[None, r:t]] = True
+    return out
+
+
 def _cell_links(cell: pa.Table) -> pa.Table:
     """Verified links of a cell's two blocks (or one with itself); nodes that share buckets meet in the first only."""
     key, low, high = (cell.column(c)[0].as_py() for c in ("key", "low", "high"))
     tid, root, keys = (cell.column(c).to_pylist() for c in ("tid", "root", "keys"))
     hashes, block, keys = WordHash(), cell.column("block").to_pylist(), [frozenset(k) for k in keys]
     found = [elements(b, hashes) for b in as_bytes(cell.column("text").combine_chunks())]
-    weight = [int(w.sum()) for _, w in found]
     left, right = ([i for i, x in enumerate(block) if x == side] for side in (low, high))
+    near = _candidates(found, left, right)
     u, v = [], []
-    for i in left:
-        for j in right:
-            if (low == high and i >= j) or root[i] == root[j]:
-                continue
-            # the smaller weight over the larger bounds the similarity
-            if min(weight[i], weight[j]) < SIMILAR * max(weight[i], weight[j]) * (1 - 1e-9) or min(keys[i] & keys[j]) != key:
-                continue
-            if similarity(found[i], found[j]) >= SIMILAR:
-                u.append(tid[i])
-                v.append(tid[j])
+    for i, j in zip(*(np.array(side, np.int64)[at].tolist() for side, at in zip((left, right), np.nonzero(near)))):
+        if (low == high and i >= j) or root[i] == root[j] or min(keys[i] & keys[j]) != key:
+            continue
+        if similarity(found[i], found[j]) >= SIMILAR:
+            u.append(tid[i])
+            v.append(tid[j])
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 

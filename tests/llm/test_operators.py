@@ -614,3 +614,34 @@ def test_near_duplicates_off_the_pivots_are_linked(spark, monkeypatch):
     assert want == {(i, i + 1) for i in range(0, 80, 2)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: i - i % 2 for i in range(80)}
+
+
+def test_buckets_are_read_once_and_dissimilar_nodes_are_not_compared(spark, monkeypatch):
+    from basalt.llm import near_dedup
+
+    own, base = np.random.default_rng(9), [f"w{k}" for k in range(300)]
+    texts = []
+    for i in range(60):
+        changed = set(own.choice(300, 20, replace=False).tolist())
+        one = [f"v{i}w{k}" if k in changed else w for k, w in enumerate(base)]
+        texts += [" ".join(one), " ".join([*one[: -1 - i % 20], *["again and"] * (i % 7)])]
+    found = [near_dedup.elements(t.encode(), near_dedup.WordHash()) for t in texts]
+    close = {(i, j) for i in range(120) for j in range(i + 1, 120) if near_dedup.similarity(found[i], found[j]) >= near_dedup.SIMILAR}
+    assert 40 < len(close) < 200
+    left, right = list(range(0, 120, 3)), list(range(120))
+    may = near_dedup._candidates(found, left, right)
+    assert {(left[i], right[j]) for i, j in zip(*np.nonzero(may))} >= {(i, j) for i, j in close if i in left}
+    # every node lies in one block of one bucket: 7140 pairs, of which few are compared
+    calls, similarity = [], near_dedup.similarity
+    monkeypatch.setattr(near_dedup, "similarity", lambda a, b: (calls.append(1), similarity(a, b))[1])
+    cell = pa.table({"key": [5] * 120, "low": [0] * 120, "high": [0] * 120, "block": [0] * 120, "tid": [bytes([i]) for i in range(120)], "root": [bytes([i]) for i in range(120)], "keys": [[5, 9]] * 120, "text": texts})
+    links = near_dedup._cell_links(cell)
+    assert {(u[0], v[0]) for u, v in zip(links.column("u").to_pylist(), links.column("v").to_pylist())} == close
+    assert len(calls) < 1_000
+    # a bucket's nodes learn its hub from their own exchange by key, not from a second one and a join by key
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rest = frame([(1, b"a"), (1, b"b"), (1, b"c"), (2, b"a"), (2, b"d")], "key long, tid binary")
+    roots = frame([(b"a", b"a"), (b"b", b"a"), (b"d", b"a")], "node binary, root binary")
+    got = near_dedup._open(rest, roots, frame([(b"b", b"a"), (b"d", b"a")], "u binary, v binary"))
+    assert {tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r)) for r in got.collect()} == {(1, t, r, 3, b"a", b"a") for t, r in ((b"a", b"a"), (b"b", b"a"), (b"c", b"c"))}
+    assert "[key" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)

@@ -47,6 +47,7 @@ SLICES = 64  # of the weights, summed apart
 MIX = 0.5  # the corpus counts' part
 PIECE = 60_000  # words scored at once
 CACHE, LONGEST_KEPT = 500_000, 200
+TASK_CACHE = 100_000  # words a learning task keeps until its end
 WORD = np.dtype([("ids", "<u4"), ("count", "<i8")])
 pack_word = struct.Struct("<Iq").pack
 
@@ -105,13 +106,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Tables:
     """What scoring knows of words: their ids, and the frequent words' counts."""
 
-    def __init__(self, counts: dict[bytes, int], codes: Codes):
-        self.counts, self.codes = counts, codes
+    def __init__(self, counts: dict[bytes, int], codes: Codes, kept: int = CACHE):
+        self.counts, self.codes, self.kept = counts, codes, kept
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
 
     def learn(self, word: bytes) -> tuple[bytes, bytes]:
         """(ids, record of the word)"""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.kept:
             self.words.clear()
         ids = np.array(self.codes(word), "<u2")
         value = ids.tobytes(), pack_word(len(ids), self.counts.get(word, -1))
@@ -209,19 +210,14 @@ def fit_attention(docs: DataFrame, words: int, path: str, steps: int = STEPS) ->
         shared, least = share(spark, model.flat()), -(-steps // len(RATES))
 
         def learn(batches, shared=shared, rate=rate):
-            tables = process_cache(("subword ids", path), lambda: Tables({}, Codes(path)))
-
-            def run():
-                own, n = Attention(pad), 0
-                own.load(shared.value)
-                for x, y in blocks_of(training_windows(batches, tables), BLOCK):
-                    own.train(x, y, 1 if n else least, rate, BATCH)
-                    n += len(x)
-                if n:
-                    parts = [p.tobytes() for p in np.array_split(own.flat(), SLICES)]
-                    yield {"slice": list(range(SLICES)), "n": [n] * SLICES, "flat": parts}
-
-            return run()
+            tables, own, n = Tables({}, Codes(path), TASK_CACHE), Attention(pad), 0
+            own.load(shared.value)
+            for x, y in blocks_of(training_windows(batches, tables), BLOCK):
+                own.train(x, y, 1 if n else least, rate, BATCH)
+                n += len(x)
+            if n:
+                parts = [p.tobytes() for p in np.array_split(own.flat(), SLICES)]
+                yield {"slice": list(range(SLICES)), "n": [n] * SLICES, "flat": parts}
 
         texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == k).select("text")
         learned = stage(map_stream(texts, learn, "slice int, n long, flat binary"))

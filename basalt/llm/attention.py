@@ -37,7 +37,7 @@ class Attention:
     def __init__(self, ids: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.ids, self.groups = ids, -(-(ids + 1) // GROUP)
-        rows = self.groups * GROUP
+        rows, self.room = self.groups * GROUP, Room()
         scale = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
         self.p = {"q": scale(rows, WIDTH), "k": scale(rows, WIDTH), "v": scale(rows, WIDTH), "e": scale(rows, WIDTH), "near": np.zeros(SPAN, np.float32), "c": scale(WIDTH, self.groups), "c0": np.zeros(self.groups, np.float32), "m": scale(self.groups, GROUP, WIDTH), "m0": np.zeros((self.groups, GROUP), np.float32)}
 
@@ -56,21 +56,28 @@ class Attention:
         return np.where(gap >= 0, self.p["near"][np.maximum(gap, 0)], FAR).astype(np.float32)
 
     def _attend(self, x: np.ndarray) -> tuple:
-        """x (windows, SPAN) of ids -> hidden state of the last STRIDE positions and what the gradient needs."""
-        p = self.p
-        own = x[:, CONTEXT:]
-        q, k, v = p["q"][own], p["k"][x], p["v"][x]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(WIDTH**-0.5)
+        """x (windows, SPAN) of ids -> hidden states of the last STRIDE positions and a column of ones, and what the gradient
+        needs: scaled queries, keys, values, weights before they are divided, what divides them, weighted values."""
+        p, room, n, own = self.p, self.room, len(x), x[:, CONTEXT:]
+        q = np.take(p["q"], own, axis=0, out=room("q", n, STRIDE, WIDTH), mode="clip")
+        k = np.take(p["k"], x, axis=0, out=room("k", n, SPAN, WIDTH), mode="clip")
+        v = np.take(p["v"], x, axis=0, out=room("v", n, SPAN, WIDTH), mode="clip")
+        q *= np.float32(WIDTH**-0.5)
+        s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, STRIDE, SPAN))
         s += self._bias()
-        if (x[:, :CONTEXT] == self.ids).any():
-            s += np.where(x == self.ids, FAR, np.float32(0))[:, None, :]
+        begins = np.flatnonzero(x[:, 0] == self.ids)  # padding is on the left of what a text's first window sees
+        if len(begins):
+            s[begins] += np.where(x[begins] == self.ids, FAR, np.float32(0))[:, None, :]
         np.exp(np.minimum(s, HIGH, out=s), out=s)
-        s /= (s @ np.ones(SPAN, np.float32) + LOW)[:, :, None]
-        h = np.matmul(s, v)
-        h += p["e"][own]
-        np.tanh(h, out=h)
-        return h, q, k, v, s
+        r = (1 / (s @ np.ones(SPAN, np.float32) + LOW))[:, :, None]
+        o = np.matmul(s, v, out=room("o", n, STRIDE, WIDTH))
+        o *= r
+        h = room("h", n, STRIDE, WIDTH + 1)
+        h[:, :, WIDTH] = 1
+        z = np.take(p["e"], own, axis=0, out=room("e", n, STRIDE, WIDTH), mode="clip")
+        z += o
+        np.tanh(z, out=h[:, :, :WIDTH])
+        return h.reshape(-1, WIDTH + 1), q, k, v, s, r, o
 
     def prepare(self) -> dict:
         """The tables as scoring uses them.
@@ -142,55 +149,72 @@ class Attention:
         return out, begun
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the ids y that are not padding, and its gradient."""
-        p = self.p
-        h3, q, k, v, a = self._attend(x)
-        h, t = h3.reshape(-1, WIDTH), y.ravel()
-        real = (t != self.ids).astype(np.float32) / max(1, int((t != self.ids).sum()))
-        group, member, n = t // GROUP, t % GROUP, np.arange(len(t))
+        """Mean loss of the ids y that are not padding, and its gradient.
 
-        def softmax(z):
+        Positions are sorted by their targets' classes.  Attention weights stay undivided: what divides them goes into the
+        narrower arrays they meet, and the sum of weights and their gradients is that of weighted values and theirs.
+        """
+        p, room, size = self.p, self.room, len(x)
+        h, q, k, v, s, r, o = self._attend(x)
+        order = np.argsort((y.ravel() // GROUP).astype(np.int16), kind="stable")
+        t, n = y.ravel()[order], np.arange(y.size)
+        group, member = t // GROUP, t % GROUP
+        ends = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+        parts = [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        real = (t != self.ids).astype(np.float32)
+        real /= max(1.0, float(real.sum(dtype=np.float64)))
+        h = np.take(h, order, axis=0, out=room("sorted", len(t), WIDTH + 1), mode="clip")
+
+        def softmax_less_target(z, target):
+            """Loss; z becomes its gradient."""
             np.exp(np.minimum(z, HIGH, out=z), out=z)
-            z /= (z @ np.ones(z.shape[1], np.float32) + LOW)[:, None]
-            return z
-
-        zc = softmax(h @ p["c"] + p["c0"])
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.groups + 1)).tolist()
-        loss = -float((real * np.log(zc[n, group] + 1e-30)).sum())
-        zc[n, group] -= 1
-        zc *= real[:, None]
+            total = z @ np.ones(z.shape[1], np.float32) + LOW
+            loss = -float((real * np.log(z[n, target] / total + 1e-30)).sum())
+            z *= (real / total)[:, None]
+            z[n, target] -= real
+            return loss
+
         g = {name: np.zeros_like(z) for name, z in p.items()}
-        g["c"], g["c0"] = h.T @ zc, zc.sum(0)
-        within = np.empty_like(h)
-        for c, (i, j) in enumerate(zip(ends, ends[1:])):
-            if i < j:
-                of = order[i:j]
-                hc = h[of]
-                zm = softmax(hc @ p["m"][c].T + p["m0"][c])
-                at = np.arange(j - i), member[of]
-                loss -= float((real[of] * np.log(zm[at] + 1e-30)).sum())
-                zm[at] -= 1
-                zm *= real[of][:, None]
-                g["m0"][c], g["m"][c], within[of] = zm.sum(0), zm.T @ hc, zm @ p["m"][c]
-        dh = zc @ p["c"].T + within
-        d = (dh * (1 - h * h)).reshape(h3.shape)
-        own = x[:, CONTEXT:]
-        own_sum, all_sum = _summer(own.ravel(), len(p["e"])), _summer(x.ravel(), len(p["e"]))
-        g["e"], g["v"] = own_sum(d), all_sum(np.matmul(a.transpose(0, 2, 1), d))
-        da = np.matmul(d, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        z = np.matmul(h, np.concatenate([p["c"], p["c0"][None]]), out=room("z", len(t), self.groups))
+        loss = softmax_less_target(z, group)
+        both = h.T @ z
+        g["c"], g["c0"] = both[:WIDTH], both[WIDTH]
+        dh = np.matmul(z, p["c"].T, out=room("dh", len(t), WIDTH))
+        m, w = np.concatenate([p["m"], p["m0"][:, :, None]], axis=2), room("w", len(t), GROUP)
+        for c, i, j in parts:
+            np.matmul(h[i:j], m[c].T, out=w[i:j])
+        loss += softmax_less_target(w, member)
+        within = room("within", len(t), WIDTH)
+        for c, i, j in parts:
+            both = w[i:j].T @ h[i:j]
+            g["m"][c], g["m0"][c] = both[:, :WIDTH], both[:, WIDTH]
+            np.matmul(w[i:j], p["m"][c], out=within[i:j])
+        dh += within
+        h = h[:, :WIDTH]
+        dh *= 1 - h * h
+        by_own, by_all = room("by own", size, STRIDE, 2 * WIDTH), room("by all", size, SPAN, 2 * WIDTH)
+        d = room("d", size, STRIDE, WIDTH)
+        d.reshape(-1, WIDTH)[order] = dh
+        by_own[:, :, :WIDTH] = d
+        d *= r
+        np.matmul(s.transpose(0, 2, 1), d, out=by_all[:, :, :WIDTH])
+        ds = np.matmul(d, v.transpose(0, 2, 1), out=room("ds", size, STRIDE, SPAN))
+        ds -= np.einsum("wij,wij->wi", d, o)[:, :, None]
+        ds *= s
         gap = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(SPAN)[None, :]
-        np.add.at(g["near"], np.maximum(gap, 0), np.where(gap >= 0, ds.sum(0), 0))
-        ds *= np.float32(WIDTH**-0.5)
-        g["q"], g["k"] = own_sum(np.matmul(ds, k)), all_sum(np.matmul(ds.transpose(0, 2, 1), q))
+        g["near"] = np.bincount(gap[gap >= 0], ds.sum(0)[gap >= 0], SPAN).astype(np.float32)
+        np.matmul(ds, k, out=by_own[:, :, WIDTH:])
+        np.matmul(ds.transpose(0, 2, 1), q, out=by_all[:, :, WIDTH:])
+        own, every = _sums(x[:, CONTEXT:].ravel(), len(p["e"]), by_own), _sums(x.ravel(), len(p["e"]), by_all)
+        g["e"], g["q"], g["v"], g["k"] = own[:, :WIDTH], own[:, WIDTH:] * np.float32(WIDTH**-0.5), every[:, :WIDTH], every[:, WIDTH:]
         return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float, batch: int = 128, seed: int = 0) -> float:
         """Adam for at least ``steps`` steps and at least one pass over the windows; the last steps' mean loss."""
         rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        flat = self.flat()
+        self.load(flat)  # the parameters are views of an array of their own: what was loaded stays as it is
+        first, second, some = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
         total, losses = max(steps, -(-len(x) // batch)), []
         order = np.zeros(0, np.int64)
         for t in range(1, total + 1):
@@ -200,24 +224,26 @@ class Attention:
             loss, g = self.gradient(x[pick].astype(np.int32), y[pick].astype(np.int32))
             losses.append(loss)
             lr = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
-            for k, v in self.p.items():
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] * g[k] - second[k])
-                v -= (lr * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            slope = np.concatenate([g[k].ravel() for k in self.p])
+            first += np.multiply(np.subtract(slope, first, out=some), np.float32(0.1), out=some)
+            slope *= slope
+            second += np.multiply(np.subtract(slope, second, out=some), np.float32(0.01), out=some)
+            np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**t)), out=some), out=some)
+            some += np.float32(1e-8)
+            np.divide(first, some, out=some)
+            some *= np.float32(lr / (1 - 0.9**t))
+            flat -= some
         return float(np.mean(losses[-20:])) if losses else 0.0
 
 
-def _summer(ids: np.ndarray, rows: int):
-    """A function that sums vectors by the ids at their places, into a table of ``rows``."""
+def _sums(ids: np.ndarray, rows: int, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors by the ids at their places, a table of ``rows``."""
+    width, number = vectors.shape[-1], np.bincount(ids, minlength=rows)
+    seen = np.flatnonzero(number)
+    out = np.zeros((rows, width), np.float32)
     order = np.argsort(ids.astype(np.int16), kind="stable")
-    seen, first = np.unique(ids[order], return_index=True)
-
-    def total(vectors: np.ndarray) -> np.ndarray:
-        out = np.zeros((rows, WIDTH), np.float32)
-        out[seen] = np.add.reduceat(vectors.reshape(-1, WIDTH)[order], first, axis=0)
-        return out
-
-    return total
+    out[seen] = np.add.reduceat(np.take(vectors.reshape(-1, width), order, axis=0, mode="clip"), (np.cumsum(number) - number)[seen], axis=0)
+    return out
 
 
 def windows(texts: list[np.ndarray], pad: int, before: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,13 +253,14 @@ def windows(texts: list[np.ndarray], pad: int, before: list[np.ndarray] | None =
     """
     number = np.array([-(-(len(s) - 1) // STRIDE) for s in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(number * STRIDE + CONTEXT)])
-    line = np.full(begin[-1] + 1, pad, np.int32)
+    line = np.full(max(SPAN, begin[-1] + 1), pad, np.int32)
     for s, b in zip(texts, begin.tolist()):
         line[b + CONTEXT : b + CONTEXT + len(s) - 1] = s[:-1]
     for lead, b in zip(before or [], begin.tolist()):
         line[b + CONTEXT - len(lead) : b + CONTEXT] = lead
-    goal = np.full(begin[-1] + 1, pad, np.int32)
+    goal = np.full(len(line), pad, np.int32)
     for s, b in zip(texts, begin.tolist()):
         goal[b + CONTEXT : b + CONTEXT + len(s) - 1] = s[1:]
     start = np.repeat(begin[:-1], number) + (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)) * STRIDE
-    return line[start[:, None] + np.arange(SPAN)], goal[start[:, None] + CONTEXT + np.arange(STRIDE)], number
+    rows = np.lib.stride_tricks.sliding_window_view
+    return rows(line, SPAN)[start], rows(goal, STRIDE)[start + CONTEXT], number

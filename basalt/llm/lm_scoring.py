@@ -22,10 +22,9 @@ from __future__ import annotations
 
 import base64
 import math
-import struct
 import uuid
 from collections import Counter
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +45,9 @@ TASK_WORDS = 3_000_000  # smaller tasks are joined: each has to learn enough for
 SLICES = 64  # of the weights, summed apart
 MIX = 0.5  # the corpus counts' part
 PIECE = 60_000  # words scored at once
-CACHE, LONGEST_KEPT = 500_000, 200
+CACHE, LONGEST_KEPT, IDS_KEPT = 500_000, 200, 32  # words, bytes of a kept one, ids a word on average
 TASK_CACHE = 100_000  # words a learning task keeps until its end
 WORD = np.dtype([("ids", "<u4"), ("count", "<i8")])
-pack_word = struct.Struct("<Iq").pack
 
 
 def vocabulary_path() -> str:
@@ -67,18 +65,24 @@ class Codes:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         ranks = {k: v for k, v in ranks.items() if v < RANKS}
-        self._encode = tiktoken.Encoding("first-ranks", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._encode = tiktoken.Encoding("first-ranks", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         begins = [v for k, v in ranks.items() if k.startswith(b" ")]
         rest = [v for k, v in ranks.items() if not k.startswith(b" ")]
         self.end = len(begins)
         self.starts = -(-(len(begins) + 1) // GROUP)  # classes of ids that begin a word
         self.pad = self.starts * GROUP + len(rest)
-        self._id = dict(zip(begins, range(len(begins)))) | dict(zip(rest, range(self.starts * GROUP, self.pad)))
+        self._id = np.zeros(RANKS, "<u2")
+        self._id[begins], self._id[rest] = np.arange(len(begins)), np.arange(self.starts * GROUP, self.pad)
 
     def __call__(self, word: bytes) -> list[int]:
         if word == END_WORD:
             return [self.end]
-        return [self._id[t] for t in self._encode(" " + word.decode("utf-8"))]
+        return self.of_words([word])[0].tolist()
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words other than the end, encoded at once, and how many each has: only its first begins a word."""
+        ids = self._id[self._encode((b" " + b" ".join(words)).decode("utf-8"))]
+        return ids, np.diff(np.flatnonzero(ids < self.end), append=len(ids))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -104,28 +108,63 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """What scoring knows of words: their ids, and the frequent words' counts."""
+    """What scoring knows of words: their ids, and the frequent words' counts.
+
+    It keeps up to ``kept`` words, or those of one lookup where these are more.
+    """
 
     def __init__(self, counts: dict[bytes, int], codes: Codes, kept: int = CACHE):
         self.counts, self.codes, self.kept = counts, codes, kept
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def learn(self, word: bytes) -> tuple[bytes, bytes]:
-        """(ids, record of the word)"""
-        if len(self.words) > self.kept:
-            self.words.clear()
-        ids = np.array(self.codes(word), "<u2")
-        value = ids.tobytes(), pack_word(len(ids), self.counts.get(word, -1))
-        if len(word) <= LONGEST_KEPT:
-            self.words[word] = value
-        return value
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the end is known: words' places, their records and first ids by place, and the ids of all."""
+        self.words, self.size, self.length = {END_WORD: 0}, 1, 1
+        self.records, self.first = np.array([(1, self.counts.get(END_WORD, -1))], WORD), np.zeros(1, np.int64)
+        self.ids = np.array(self.codes(END_WORD), "<u2")
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds distinct words that are not known."""
+        ids, number = self.codes.of_words(words)
+        size, length = self.size + len(words), self.length + len(ids)
+        self.records, self.first, self.ids = _with_room(self.records, size), _with_room(self.first, size), _with_room(self.ids, length)
+        new = slice(self.size, size)
+        self.ids[self.length : length] = ids
+        self.first[new] = self.length + np.cumsum(number) - number
+        self.records["ids"][new] = number
+        self.records["count"][new] = np.fromiter(map(self.counts.get, words, repeat(-1)), np.int64, len(words))
+        self.words.update(zip(words, range(self.size, size)))
+        self.size, self.length = size, length
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and their records."""
-        found = list(map(self.words.get, words))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self.words.get(words[i]) or self.learn(words[i])
-        return np.frombuffer(b"".join(map(itemgetter(0), found)), "<u2"), np.frombuffer(b"".join(map(itemgetter(1), found)), WORD)
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = dict.fromkeys(map(words.__getitem__, missing.tolist()))
+            if self.size + len(new) > self.kept or self.length > IDS_KEPT * self.kept:
+                self.forget()
+                missing, new = np.arange(len(words)), dict.fromkeys(words)
+                new.pop(END_WORD, None)
+            self.learn(list(new))
+            at[missing] = np.fromiter(map(self.words.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+            for word in new:
+                if len(word) > LONGEST_KEPT:
+                    del self.words[word]
+        records = self.records[at]
+        number = records["ids"].astype(np.int64)
+        place = np.repeat(self.first[at] - np.cumsum(number) + number, number)
+        place += np.arange(len(place))
+        return self.ids[place], records
+
+
+def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer one that begins with it, if it has less than ``size`` places."""
+    if len(array) >= size:
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 def pieces_of(words: list[bytes], codes: Codes, size: int = PIECE) -> list[tuple[list[int], list[bytes], bool]]:

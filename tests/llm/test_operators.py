@@ -193,6 +193,52 @@ def test_lm_learns_from_every_window(spark, monkeypatch):
     assert all((fitted.p["v"][i] != start.p["v"][i]).any() for i in rare)
 
 
+def test_lm_encodes_new_words_at_once(monkeypatch):
+    from basalt.llm import lm_scoring as lm
+
+    codes = lm.Codes(lm.vocabulary_path())
+    texts = [prose(40).encode().split() + ["naïve".encode(), "日本語".encode(), bytes([0x1F, 0x41]), "a\u00a0b".encode(), b"z" * 300, lm.END_WORD] for _ in range(4)]
+    want = {w: codes(w) for ws in texts for w in ws}
+    calls, encode = [], codes._encode
+    monkeypatch.setattr(codes, "_encode", lambda text: (calls.append(text), encode(text))[1])
+    for kept in (5, 10_000):  # with five, every lookup forgets what came before
+        tables = lm.Tables({b"than": 5, lm.END_WORD: 9}, codes, kept)
+        for ws in [*texts, *texts]:
+            calls.clear()
+            ids, records = tables.lookup(ws)
+            assert len(calls) <= 1 and ids.tolist() == [i for w in ws for i in want[w]]
+            assert records["ids"].tolist() == [len(want[w]) for w in ws]
+            assert records["count"].tolist() == [{b"than": 5, lm.END_WORD: 9}.get(w, -1) for w in ws]
+            assert b"z" * 300 not in tables.words
+        assert tables.size <= max(kept, len(set(texts[-1]))) + len(texts) * 2
+    assert tables.lookup([])[0].tolist() == []
+
+
+def test_lm_learning_follows_the_gradient_and_leaves_what_was_loaded():
+    """Tasks of a round that share a worker share its broadcast weights: learning must not write into them."""
+    from basalt.llm.attention import Attention, windows
+
+    model, draw = Attention(70, 5), np.random.default_rng(8)
+    model.load(model.flat() * np.float32(4))  # steeper than the start
+    x, y, _ = windows([draw.integers(0, 70, n) for n in (3, 60, 26)], 70)
+    _, g = model.gradient(x, y)
+    assert list(g) == list(model.p)
+    for name, p in model.p.items():
+        at = np.unravel_index(np.abs(g[name]).argmax(), p.shape)
+        here, g_at = p[at], float(g[name][at])
+        p[at] = here + np.float32(0.02)
+        up = model.gradient(x, y)[0]
+        p[at] = here - np.float32(0.02)
+        assert (up - model.gradient(x, y)[0]) / 0.04 == pytest.approx(g_at, rel=0.03), name
+        p[at] = here
+    flat = model.flat()
+    before = flat.copy()
+    model.load(flat)
+    first, last = model.gradient(x, y)[0], model.train(x, y, 60, 0.03, 4)
+    assert last < first and (model.flat() != before).any()
+    assert np.array_equal(flat, before)
+
+
 def shingles(t):
     w = words(t)
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import cost, eda, lakehouse, modelling, search, stateful, text
+from basalt.plans import cost, eda, lakehouse, modelling, search, stateful, text, windows
 from basalt.plans.dialect import DUCK, SPARK, Dialect
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,5 +26,5 @@ def relational(build: Callable[[Dialect], str]) -> Callable[[SparkSession, str],
 
 
 _SQL = {**lakehouse.QUERIES, **modelling.QUERIES, **eda.QUERIES, **text.QUERIES, **cost.QUERIES}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: relational(b) for k, b in _SQL.items()} | search.QUERIES | stateful.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: relational(b) for k, b in _SQL.items()} | search.QUERIES | windows.QUERIES | stateful.QUERIES
 ORACLES: dict[str, str] = {k: b(DUCK) for k, b in _SQL.items()} | stateful.ORACLES

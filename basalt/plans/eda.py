@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import DAY_US, WEEK_US, Dialect, same_week, tele, week_before
+from basalt.plans.dialect import DAY_US, WEEK_US, Dialect, tele
 
 SENSORS = ("tons", "pressure", "rpm", "advance", "vibration", "temp")
 PAIRS = [(a, b) for i, a in enumerate(SENSORS) for b in SENSORS[i + 1 :]]
@@ -52,20 +52,25 @@ def spearman(d: Dialect) -> str:
     return f"with {tele(d)}, {tables}, ranked as (select {', '.join(f'of_{c}.r as {c}' for c in SENSORS)} from tele {joins}) {rho}"
 
 
+ERRORS = "select count(*) as n, " + ", ".join(
+    f"round({x}, 6) as {name}"
+    for name, x in (
+        ("rmse_mean", "sqrt(avg((grade - m) * (grade - m)))"), ("rmse_median", "sqrt(avg((grade - med) * (grade - med)))"),
+        ("mae_mean", "avg(abs(grade - m))"), ("mae_median", "avg(abs(grade - med))"),
+    )
+) + " from near where n >= 5"
+
+
 def mean_vs_median(d: Dialect) -> str:
-    """Every reading against the mean and the median of its front's week before, of five readings at least."""
-    near = f"""probe as (select event_id, front, us, grade from tele where grade is not null), {week_before(d)},
+    """Every reading against the mean and the median of its front's week before, of five readings at least.
+
+    Spark looks back by ``operators.rolling``.
+    """
+    near = f"""probe as (select event_id, front, us, grade from tele where grade is not null), week_before as (select * from tele),
       near as (select p.event_id, p.grade, avg(t.grade) as m, {d.pct('t.grade', 0.5)} as med, count(*) as n
-        from probe p join week_before t on t.front = p.front and {same_week(d, 'p', 't')} and t.us >= p.us - {WEEK_US} and t.us < p.us and t.grade is not null
+        from probe p join week_before t on t.front = p.front and true and t.us >= p.us - {WEEK_US} and t.us < p.us and t.grade is not null
         group by p.event_id, p.grade)"""
-    errors = ", ".join(
-        f"round({x}, 6) as {name}"
-        for name, x in (
-            ("rmse_mean", "sqrt(avg((grade - m) * (grade - m)))"), ("rmse_median", "sqrt(avg((grade - med) * (grade - med)))"),
-            ("mae_mean", "avg(abs(grade - m))"), ("mae_median", "avg(abs(grade - med))"),
-        )
-    )
-    return f"with {tele(d)}, {near} select count(*) as n, {errors} from near where n >= 5"
+    return f"with {tele(d)}, {near} {ERRORS}"
 
 
 def bands(column: str, cuts: tuple) -> str:

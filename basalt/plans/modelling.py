@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, same_week, silver, tele, week_before
+from basalt.plans.dialect import DAY_US, FOUR_HOURS_US, MINERALS, SHIFTS, WEEK_US, Dialect, in_list, silver, tele
 
 SIX_HOURS_US = 21_600_000_000
 
@@ -133,10 +133,13 @@ def drift_report(d: Dialect) -> str:
 
 
 def impute_window_median(d: Dialect) -> str:
-    """A missing grade becomes the median of its front and mineral's week before, if that has five readings."""
-    return f"""with {tele(d)}, {week_before(d)}, gaps as (select event_id, front, mineral, us from tele where grade is null),
+    """A missing grade becomes the median of its front and mineral's week before, if that has five readings.
+
+    Spark looks back by ``operators.rolling``.
+    """
+    return f"""with {tele(d)}, week_before as (select * from tele), gaps as (select event_id, front, mineral, us from tele where grade is null),
       near as (select g.event_id, {d.pct('t.grade', 0.5)} as med, count(t.grade) as n
-        from gaps g join week_before t on t.front = g.front and t.mineral = g.mineral and {same_week(d, 'g', 't')} and t.us >= g.us - {WEEK_US} and t.us < g.us and t.grade is not null
+        from gaps g join week_before t on t.front = g.front and t.mineral = g.mineral and true and t.us >= g.us - {WEEK_US} and t.us < g.us and t.grade is not null
         group by g.event_id)
       select g.event_id, case when n.n >= 5 then round(n.med, 6) end as grade, coalesce(n.n, 0) < 5 as flag_imputed from gaps g left join near n on g.event_id = n.event_id"""
 

@@ -25,4 +25,4 @@ def eda_mean_vs_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(eda.ERRORS)
 
 
-QUERIES = {f.__name__: f for f in (impute_window_median,)}
+QUERIES = {f.__name__: f for f in (impute_window_median, eda_mean_vs_median)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans.dialect import ALERTS, FOUR_HOURS_US, GRAMS_PER_OUNCE, MINERALS, RULES, Dialect, bronze, gold, in_list, outside, recovery, silver, tele
+from basalt.plans.dialect import ALERTS, DAY_US, FOUR_HOURS_US, GRAMS_PER_OUNCE, MINERALS, RULES, Dialect, bronze, gold, in_list, outside, recovery, silver, tele
 
 GOLD_ALL = "select * from gold"
 
@@ -32,6 +32,22 @@ def dq_counts(d: Dialect) -> str:
     return silver(d) + f", counted as (select batch_id, count(*) as total, {sums} from enriched group by batch_id), report as ({rows})"
 
 
+def failures_ahead(d: Dialect) -> str:
+    """Failures of the equipment in (t, t + 4h].
+
+    Spark takes the running count up to t from that up to t + 4h, each linear, where a frame that slides counts its
+    rows anew; by equipment and day, a day also holding the failures of the next one's first hours.
+    """
+    if not d.spark:
+        return f"with {tele(d)} select event_id, count(failure_code) over (partition by equipment order by us range between 1 following and {FOUR_HOURS_US} following) as failures_ahead from tele"
+    day = f"cast(floor(us / {DAY_US}) as bigint)"
+    early = f"failure_code is not null and us - {day} * {DAY_US} < {FOUR_HOURS_US}"
+    upto = lambda bound: f"count(failure_code) over (partition by equipment, day order by us range between unbounded preceding and {bound})"
+    return f"""with {tele(d)}, days as (select event_id, equipment, us, failure_code, posexplode(case when {early} then array({day}, {day} - 1) else array({day}) end) as (other, day) from tele),
+      running as (select event_id, us, other, {upto(f'{FOUR_HOURS_US} following')} as later, {upto('current row')} as now from days)
+      select event_id, case when us is null then later else later - now end as failures_ahead from running where other = 0"""
+
+
 QUERIES = {
     # scans and ledgers
     "ingest_log_counts": lambda d: f"with {bronze(d)} select batch_id, source_file, count(*) as n_rows, max(ingest_us) as last_ingest_us from bronze group by batch_id, source_file",
@@ -81,6 +97,6 @@ QUERIES = {
     "affected_cells": lambda d: f"with {corrected(d)} select distinct front, local_date, shift from merged where changed",
     "gold_after_delete": lambda d: f"with {tele(d)}, remaining as (select * from tele where local_date <> (select max(local_date) from tele)), {gold(d, 'remaining')} {GOLD_ALL}",
     "history_union_dedup": lambda d: f"with {tele(d)}, history as (select us, front, grade, 1 as origin from tele where event_id % 2 = 0 union all select us, front, grade + 1, 0 from tele where event_id % 4 = 0) select us, front, grade from (select *, row_number() over (partition by us, front order by origin) as n from history) as x where n = 1",
-    "event_failure_4h": lambda d: f"with {tele(d)} select event_id, count(failure_code) over (partition by equipment order by us range between 1 following and {FOUR_HOURS_US} following) as failures_ahead from tele",
+    "event_failure_4h": failures_ahead,
     "next_event_label": lambda d: f"with {tele(d)} select event_id, front, case when following is null then null else failed end as next_failure from (select event_id, front, lead(event_id) over (partition by front order by us) as following, lead(case when failure_code is not null then 1 else 0 end) over (partition by front order by us) as failed from tele) as x where following is not null",
 }

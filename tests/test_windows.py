@@ -1,5 +1,6 @@
 """Looking back and ahead in time: brute force, and plans that meet no row with all its neighbours."""
 
+import os
 import random
 
 import numpy as np
@@ -44,3 +45,23 @@ def test_rows_without_key_or_time_look_at_nothing(spark):
 @pytest.mark.parametrize("name", ["impute_window_median", "eda_mean_vs_median"])
 def test_no_row_a_neighbour(spark, name):
     assert "Join" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failures_ahead_across_midnight(spark, tmp_path):
+    """Times on both sides of midnight, exactly four hours apart, equal and missing, against the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    pick = random.Random(8)
+    hours = [0, 4, 20, 24, 28, 44, 48]
+    rows = [(10 * i, None if i % 11 == 0 else pick.choice(hours) * 3_600_000_000 + pick.choice([-1, 0, 0, 1]), 1, pick.choice(["error", "view"]), 1.0, '{"k": 3}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string").selectExpr("event_id", "cast(timestamp_micros(us + 1704067200000000) as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    os.symlink(f"{SF}/part.parquet", f"{tmp_path}/part.parquet")  # read wherever the SQL says "partition"
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    df = catalogue.QUERIES["event_failure_4h"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(catalogue.ORACLES["event_failure_4h"]).fetchall())
+    assert "specifiedwindowframe(RangeFrame, 1" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_without_a_window_of_all_rows(spark):
+    assert "Window" not in catalogue.QUERIES["eda_r2_group_mean"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -107,7 +107,8 @@ class VersionedTable:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         out = rows.select(*self.schema.fieldNames()).withColumn("_slot", self._slot())
         if self.partition:
-            out = out.repartition("_slot")
+            # a partition is dealt out by key, so that no task holds all of it; small pieces are put together again
+            out = out.repartition("_slot", F.pmod(F.xxhash64(*self.key), F.lit(int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
         if sort:
             out = out.sortWithinPartitions("_slot", *sort)
         out.write.partitionBy("_slot").parquet(folder)

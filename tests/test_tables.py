@@ -74,3 +74,16 @@ def test_incremental_refresh_equals_full(spark):
     metrics = [gold.manifest(v)["metrics"] for v in range(gold.version() + 1) if gold.manifest(v)["operation"] == "merge_full"]
     assert metrics[0]["deleted"] > 0
     assert refresh(spark, silver, gold.path).version() == gold.version()
+
+
+def test_a_partition_is_written_by_many_tasks(spark):
+    """All rows of one partition must not meet in one task's memory."""
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = VersionedTable(spark, scratch(spark, "wide"), SCHEMA, ["id"], "part")
+        t.append(spark.range(1000).selectExpr("id", "'a' as part", "1.0e0 as x"))
+        files = [f for f in t.read().inputFiles() if "_slot=a" in f]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(files) > 1 and t.read().count() == 1000 and set(t.manifest()["partitions"]) == {"a"}

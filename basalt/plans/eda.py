@@ -73,6 +73,14 @@ def mean_vs_median(d: Dialect) -> str:
     return f"with {tele(d)}, {near} {ERRORS}"
 
 
+def r2_group_mean(d: Dialect) -> str:
+    """Share of the grade's variance between fronts; Spark joins the means to the rows, no window holds all of them."""
+    if not d.spark:
+        return f"with {tele(d)}, m as (select grade, avg(grade) over (partition by front) as g, avg(grade) over () as a from tele where grade is not null) select round(1 - sum((grade - g) * (grade - g)) / sum((grade - a) * (grade - a)), 6) as r2 from m"
+    means = "graded as (select front, grade from tele where grade is not null), fronts as (select front, avg(grade) as g from graded group by front), every as (select avg(grade) as a from graded)"
+    return f"with {tele(d)}, {means} select round(1 - sum((grade - g) * (grade - g)) / sum((grade - a) * (grade - a)), 6) as r2 from (select r.grade, f.g, e.a from graded r join fronts f on r.front <=> f.front cross join every e) as m"
+
+
 def bands(column: str, cuts: tuple) -> str:
     """Left-closed bands, named by their position."""
     return "case " + " ".join(f"when {column} < {c} then {i}" for i, c in enumerate(cuts)) + f" else {len(cuts)} end"
@@ -112,7 +120,7 @@ QUERIES = {
     "eda_hierarchy_check": lambda d: f"with {tele(d)} select max(n) as most_sectors_of_a_front, count(*) as fronts from (select front, count(distinct sector) as n from tele group by front) as x",
     "eda_sentinel_rate": lambda d: f"with {tele(d)} select shift, round(avg(case when grade is null then 1e0 else 0e0 end), 9) as rate, count(*) as n from tele group by shift",
     "eda_range_by_grouping": lambda d: f"with {tele(d)} " + " union all ".join(f"select '{g}' as grouping_name, round(min(m), 6) as low, round(max(m), 6) as high, round(max(m) - min(m), 6) as range_ from (select avg(grade) as m from tele group by {g}) as x{i}" for i, g in enumerate(("front", "sector", "mineral", "shift", "equipment"))),
-    "eda_r2_group_mean": lambda d: f"with {tele(d)}, m as (select grade, avg(grade) over (partition by front) as g, avg(grade) over () as a from tele where grade is not null) select round(1 - sum((grade - g) * (grade - g)) / sum((grade - a) * (grade - a)), 6) as r2 from m",
+    "eda_r2_group_mean": r2_group_mean,
     "eda_lag_autocorr": lambda d: f"with {tele(d)}, r as (select front, us, grade - avg(grade) over (partition by front) as r from tele where grade is not null), l as (select r, lag(r) over (partition by front order by us) as p from r) select round(corr(r, p), 6) as autocorrelation from l",
     "eda_cadence": lambda d: f"with {tele(d)}, g as (select front, (us - lag(us) over (partition by front order by us)) / 6e7 as m from tele) select front, round({d.pct('m', 0.5)}, 4) as median_min, round(avg(m), 4) as mean_min, count(m) as n from g group by front",
     "eda_monotonic": lambda d: f"with {tele(d)}, s as (select front, local_date, shift, tons - lag(tons) over (partition by front, local_date, shift order by us) as step from tele), c as (select front, local_date, shift, min(step) as least from s group by front, local_date, shift) select round(avg(case when least >= 0 or least is null then 1e0 else 0e0 end), 6) as share, count(*) as cells from c",

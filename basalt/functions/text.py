@@ -5,10 +5,16 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from basalt.operators.retrieval import parts
 
 # What a fact looks like (a code with digits, or a number with decimals, not inside a word).
 FACTS = r"(?<![A-Za-z0-9])(?:[A-Z]{2,}-\d+|\d+(?:[.,]\d+)?)"
@@ -64,9 +70,30 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
-@pandas_udf(ArrayType(StringType()))
-def fixed_chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([split_recursive(t or "", int(s), int(o)) for t, s, o in zip(text, size, overlap)])
+def split_column(df: DataFrame, text: str, size: int, overlap: int, whole: bool = False) -> DataFrame:
+    """df with a row a chunk of the column text: its other columns, n from 0, and chunk.
+
+    whole: texts of at most size characters are kept as they are, blank ones too.  A task holds the chunks of one part
+    of a batch at a time, however long the texts are.
+    """
+    others = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*others, StructField("n", LongType()), StructField("chunk", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, len(others), batch.num_rows):
+                rows, places, chunks = [], [], []
+                for i, t in enumerate(part.column(len(others))):
+                    t = t.as_py() or ""
+                    found = [t] if whole and len(t) <= size else split_recursive(t, size, overlap)
+                    rows += [i] * len(found)
+                    places += range(len(found))
+                    chunks += found
+                columns = [part.column(i).take(pa.array(rows, pa.int64())) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, arrow)), pa.array(places, pa.int64()), pa.array(chunks, arrow.types[-1])], schema=arrow)
+
+    return df.select(*(f.name for f in others), text).mapInArrow(split, schema)
 
 
 @pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())])))

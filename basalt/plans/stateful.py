@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
-from basalt.functions.text import FACTS, fixed_chunks, page_blocks, strip_accents
+from basalt.functions.text import FACTS, page_blocks, split_column, strip_accents
 from basalt.operators.gold import refresh
 from basalt.operators.registry import Registry
 from basalt.operators.storage import scratch
@@ -108,15 +108,16 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.posexplode(fixed_chunks(F.coalesce("text", F.lit("")), F.lit(800), F.lit(120))).alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("n"), F.length("chunk").cast("long").alias("n_chars"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return split_column(docs, "text", 800, 120).select("doc_id", "n", F.length("chunk").cast("long").alias("n_chars"))
 
 
 def chunk_by_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under a context prefix; a line over MAX_CHUNK characters is split recursively, none is dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    parts = docs.where(F.trim("line") != "").select("*", F.posexplode(F.when(F.length("line") <= MAX_CHUNK, F.array("line")).otherwise(fixed_chunks(F.col("line"), F.lit(MAX_CHUNK), F.lit(OVERLAP)))).alias("part", "chunk"))
-    chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("#line#"), F.lpad((F.col("n") + 1).cast("string"), 3, "0"))
+    lines = docs.where(F.trim("line") != "").withColumnRenamed("n", "at")
+    parts = split_column(lines, "line", MAX_CHUNK, OVERLAP, whole=True).withColumnRenamed("n", "part")
+    chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("#line#"), F.lpad((F.col("at") + 1).cast("string"), 3, "0"))
     body = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit(" · "), F.coalesce("lang", F.lit("")), F.lit("] "), "chunk")
     return parts.select(chunk_id.alias("chunk_id"), F.col("part").cast("long").alias("part"), body.alias("body"))
 
